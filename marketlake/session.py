@@ -15,6 +15,8 @@ def build_session(app: str = "marketlake", master: str | None = None, **settings
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Sketch aggregates stay hashed for more groups per task; a task's sketches hold at most its own rows.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     )
     if master:
         builder = builder.master(master)
