@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marketlake.queries import clean, market, quality, trends
+from marketlake.queries import clean, housing, market, quality, trends
 from marketlake.queries.base import Query
 
-FAMILIES = (clean.family, quality.family, trends.family, market.family)
+FAMILIES = (clean.family, quality.family, housing.family, trends.family, market.family)
 
 
 def all_queries() -> dict[str, Query]:

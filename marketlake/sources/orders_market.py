@@ -53,3 +53,39 @@ def listings_view(spark: SparkSession, folder: str, listing: bool = False) -> Da
     """Sales joined with their buildings, with the price per room."""
     joined = sales_view(spark, folder, listing).join(building_view(spark, folder), "property_id")
     return joined.withColumn("unit_price", ratio(F.col("price"), F.col("total_rooms")))
+
+
+def housing_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders, their customers and lines recoded into the columns of the housing shape, so that the housing
+    rules run on them unchanged. Street, LotConfig and LandContour are left out on purpose."""
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).cast("int").alias("lines"), F.sum("l_quantity").alias("quantity"),
+        F.min("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"),
+        F.year(F.min("l_shipdate")).alias("built"))
+    orders = table(spark, folder, "orders").join(
+        table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rank = F.substring("o_orderpriority", 1, 1).cast("int")
+    styles = F.array(*[F.lit(s) for s in ("1Story", "1.5Fin", "2Story", "2.5Unf", "SFoyer", "SLvl", "Other")])
+
+    def recode(column, mapping):
+        return F.element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), column)
+
+    return joined.select(
+        F.col("o_orderkey").alias("Id"), rank.alias("MSSubClass"), F.col("o_orderstatus").alias("MSZoning"),
+        recode(F.col("c_mktsegment"), {"AUTOMOBILE": "NoRidge", "BUILDING": "Timber", "FURNITURE": "OldTown",
+                                       "HOUSEHOLD": "Gilbert"}).alias("Neighborhood"),
+        recode(rank, {1: "Ex", 2: "Gd", 3: "TA", 4: "Xx"}).alias("HeatingQC"),
+        F.col("lines").alias("OverallQual"), recode(F.col("o_orderstatus"), {"F": 5, "O": 7}).alias("OverallCond"),
+        (F.col("quantity") * 50).alias("LotArea"), F.year("o_orderdate").alias("YrSold"),
+        F.month("o_orderdate").alias("MoSold"), F.col("built").alias("YearBuilt"), F.col("lines").alias("BedroomAbvGr"),
+        F.col("lines").alias("FullBath"), recode(F.col("flag"), {"R": 1, "N": 0}).alias("HalfBath"),
+        F.lit(1).alias("KitchenAbvGr"), F.get(styles, (F.col("c_nationkey") % 7)).alias("HouseStyle"),
+        recode(F.col("flag"), {"A": "NA", "N": "", "R": "Attchd"}).alias("GarageType"),
+        F.when(F.col("status") == "F", F.col("quantity")).when(F.col("status") == "O", 0.0).alias("PoolArea"),
+        F.when(F.col("flag") == "N", F.col("quantity")).otherwise(0.0).alias("WoodDeckSF"),
+        F.when(F.col("status") == "F", F.col("quantity")).alias("OpenPorchSF"), F.col("status").alias("Exterior1st"),
+        F.col("flag").alias("RoofStyle"), F.col("c_mktsegment").alias("Heating"),
+        recode(F.col("o_orderstatus"), {"F": "Y", "O": "N", "P": "X"}).alias("CentralAir"),
+        recode(rank, {1: "WD", 2: "New", 3: "COD", 4: "ConLD", 5: "Cash"}).alias("SaleType"),
+        recode(F.col("o_orderstatus"), {"F": "Family", "O": "Abnorml", "P": "Normal"}).alias("SaleCondition"))
