@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marketlake.queries import clean, housing, learning_rows, market, quality, trends
+from marketlake.queries import clean, housing, learning_rows, market, marts, quality, trends
 from marketlake.queries.base import Query
 
-FAMILIES = (clean.family, quality.family, housing.family, trends.family, market.family, learning_rows.family)
+FAMILIES = (
+    clean.family, quality.family, housing.family, trends.family, market.family, learning_rows.family, marts.family)
 
 
 def all_queries() -> dict[str, Query]:

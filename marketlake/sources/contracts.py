@@ -12,12 +12,23 @@ from pyspark.sql import types as T
 from marketlake.operators.merging import key_violations
 
 
+PLAIN_TYPES = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(),
+               "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def _type(text: str) -> T.DataType:
+    if text.startswith("decimal"):
+        precision, scale = text[len("decimal("):-1].split(",")
+        return T.DecimalType(int(precision), int(scale))
+    return PLAIN_TYPES[text]
+
+
 def _fields(text: str) -> T.StructType:
     """Schema from lines ``name type [required]``."""
     fields = []
     for line in text.strip().splitlines():
         name, dtype, *flags = line.split()
-        fields.append(T.StructField(name, T.DataType.fromDDL(dtype), "required" not in flags))
+        fields.append(T.StructField(name, _type(dtype), "required" not in flags))
     return T.StructType(fields)
 
 

@@ -89,3 +89,18 @@ def housing_view(spark: SparkSession, folder: str) -> DataFrame:
         recode(F.col("o_orderstatus"), {"F": "Y", "O": "N", "P": "X"}).alias("CentralAir"),
         recode(rank, {1: "WD", 2: "New", 3: "COD", 4: "ConLD", 5: "Cash"}).alias("SaleType"),
         recode(F.col("o_orderstatus"), {"F": "Family", "O": "Abnorml", "P": "Normal"}).alias("SaleCondition"))
+
+
+def neighborhood_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Three numeric scores per neighborhood from the order lines, in place of the surveyed scores."""
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"),
+        F.sum(F.col("l_discount").cast("decimal(18,2)")).alias("discount"),
+        F.sum(F.col("l_tax").cast("decimal(18,2)")).alias("tax"))
+    placed = sales_view(spark, folder).select("property_id", "neighborhood").join(
+        lines, F.col("property_id") == F.col("l_orderkey"))
+    sums = placed.groupBy("neighborhood").agg(*[F.sum(c).alias(c) for c in ("lines", "quantity", "discount", "tax")])
+    return sums.select(
+        "neighborhood", (ratio(F.col("quantity"), F.col("lines")) / 5).alias("walkability_score"),
+        (ratio(F.col("discount"), F.col("lines")) * 100).alias("school_rating"),
+        (ratio(F.col("tax"), F.col("lines")) * 100).alias("crime_index"))
