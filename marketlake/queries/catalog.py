@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marketlake.queries import clean, housing, learning_rows, market, marts, quality, trends
+from marketlake.queries import (
+    clean, housing, learning, learning_rows, market, marts, quality, scalars, serving, tables, trends)
 from marketlake.queries.base import Query
 
-FAMILIES = (
-    clean.family, quality.family, housing.family, trends.family, market.family, learning_rows.family, marts.family)
+FAMILIES = tuple(module.family for module in (
+    clean, quality, housing, tables, trends, market, learning_rows, marts, serving, scalars, learning))
 
 
 def all_queries() -> dict[str, Query]:
