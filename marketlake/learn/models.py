@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.functions.numbers import ratio
-from marketlake.learn.preparation import FEATURES, preprocessing, with_folds
+from marketlake.learn.preparation import FEATURES, most_frequent, preprocessing, with_folds
 
 # The published search grids; a depth of 30 is Spark's largest and stands for "no limit".
 FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]}
@@ -63,8 +63,8 @@ def fit(
 ) -> list[Fitted]:
     """Fit the named models. The prepared training rows are kept while the models read them again and again;
     lost blocks are recomputed. Grids with more than one point are searched by cross-validation on hash folds."""
-    prepare = preprocessing(train, numeric, categorical).fit(train)
-    used = [c for c in categorical if any(c + "__text" in str(s.getOrDefault("statement")) for s in prepare.stages[:1])]
+    modes = most_frequent(train, categorical)
+    prepare = preprocessing(numeric, modes).fit(train)
     rows = with_folds(prepare.transform(train), id_column, folds).select(
         FEATURES, F.col(target).cast("double").alias("label"), "fold").persist(StorageLevel.MEMORY_AND_DISK)
     found = []
@@ -84,7 +84,7 @@ def fit(
                 best = search.fit(rows).bestModel
             else:
                 best = estimator.fit(rows, points[0]) if points[0] else estimator.fit(rows)
-            found.append(Fitted(name, PipelineModel([*prepare.stages, best]), numeric, used,
+            found.append(Fitted(name, PipelineModel([*prepare.stages, best]), numeric, list(modes),
                                 _chosen(best, grid or ["fitIntercept"])))
     finally:
         rows.unpersist()
@@ -142,16 +142,20 @@ def native_importance(fitted: Fitted, sample: DataFrame) -> dict[str, float]:
     return dict(sorted(shares.items(), key=lambda item: (-item[1], item[0])))
 
 
-def shuffled(df: DataFrame, column: str, id_column: str, seed: int, groups: int) -> DataFrame:
-    """One column permuted: rows fall into random groups, each group is put in random order, and every row takes
-    the value of the row after it (the last takes the first). No sort of the whole table, no join."""
-    spot = F.xxhash64(F.col(id_column), F.lit(seed))
-    placed = df.withColumns({"__group": F.pmod(spot, F.lit(groups)), "__spot": F.xxhash64(F.col(id_column), F.lit(seed + 1))})
+def shuffled(df: DataFrame, columns: list[str], id_column: str, seed: int, groups: int) -> DataFrame:
+    """``__next``: the columns' values of another row, as a permutation of the rows.
+
+    Rows fall into random groups, each group is put in random order, and every row takes the values of the row
+    after it (the last takes the first). No sort of the whole table, no join.
+    """
+    placed = df.withColumns({
+        "__group": F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(groups)),
+        "__spot": F.xxhash64(F.col(id_column), F.lit(seed + 1))})
     order = Window.partitionBy("__group").orderBy("__spot", id_column)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    is_last = F.lead(F.lit(1)).over(order).isNull()
-    following = F.when(is_last, F.first(column).over(whole)).otherwise(F.lead(column).over(order))
-    return placed.withColumn(column, following).drop("__group", "__spot")
+    values = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return placed.withColumn("__next", F.coalesce(F.lead(values).over(order), F.first(values).over(whole))).drop(
+        "__group", "__spot")
 
 
 def permutation_importance(
@@ -160,19 +164,22 @@ def permutation_importance(
 ) -> dict[str, float]:
     """Mean drop of R² when a column is permuted among the test rows.
 
-    All columns and repeats are scored in one job: each permuted copy is tagged, and R² is one aggregate by tag.
+    Each repeat permutes all columns with one window and copies every row once per column, with that column
+    exchanged. All copies are scored together and R² is one aggregate by column: repeats share the labels, so
+    the R² of their joint mean squared error is the mean of their R².
     """
     columns = columns or fitted.numeric + fitted.categorical
-    needed = [id_column, target, *fitted.numeric, *fitted.categorical]
-    test = test.select(*dict.fromkeys(needed)).persist(StorageLevel.MEMORY_AND_DISK)
+    needed = list(dict.fromkeys([*fitted.numeric, *fitted.categorical]))
+    test = test.select(id_column, target, *needed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         groups = max(1, test.count() // rows_per_group)
-        copies = test.withColumn("__tag", F.lit(""))
-        for column in columns:
-            for repeat in range(repeats):
-                copies = copies.unionByName(
-                    shuffled(test, column, id_column, seed + 17 * repeat, groups).withColumn("__tag", F.lit(column)))
-        # Copies of one column share a tag per repeat through the mean below: R² is linear in the squared error.
+        copies = test.select(F.lit("").alias("__tag"), target, *needed)
+        for repeat in range(repeats):
+            moved = shuffled(test, columns, id_column, seed + 17 * repeat, groups)
+            exchanged = F.array(*[
+                F.struct(F.lit(c).alias("__tag"),
+                         *[(F.col("__next")[n] if n == c else F.col(f"`{n}`")).alias(n) for n in needed]) for c in columns])
+            copies = copies.unionByName(moved.select(target, F.inline(exchanged)))
         scored = regression_metrics(fitted.model.transform(copies), target, "prediction", ["__tag"])
         r2 = {row["__tag"]: row["r2"] for row in scored.collect()}  # one row per column
     finally:

@@ -53,18 +53,18 @@ def most_frequent(df: DataFrame, columns: list[str], at_most: int = MAX_CATEGORI
     wide = [row["name"] for row in best if row["values"] > at_most]
     if wide:
         raise ValueError(f"more than {at_most} categories in {wide}")
-    return {row["name"]: row["value"] for row in best}
+    modes = {row["name"]: row["value"] for row in best}
+    return {c: modes[c] for c in columns if c in modes}
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def preprocessing(df: DataFrame, numeric: list[str], categorical: list[str]) -> Pipeline:
-    """Numeric: median for missing values, then standardised. Text: mode for missing values, then one-hot with
+def preprocessing(numeric: list[str], modes: dict[str, str]) -> Pipeline:
+    """``modes`` maps each text column to its most frequent value. Numeric: median for missing values, then standardised. Text: mode for missing values, then one-hot with
     unknown values as all zeros. Ends in one ``features`` vector; the stages save and load with the model."""
-    modes = most_frequent(df, categorical)
-    categorical = [c for c in categorical if c in modes]
+    categorical = list(modes)
     casts = [f"CAST(`{c}` AS DOUBLE) AS `{c}__num`" for c in numeric]
     fills = [f"coalesce(`{c}`, {_quoted(modes[c])}) AS `{c}__text`" for c in categorical]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(casts + fills)} FROM __THIS__")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -91,9 +92,7 @@ def ml_linear_one_feature(spark, folder):
     rows = VectorAssembler(inputCols=["total_rooms"], outputCol="features").transform(
         listings_view(spark, folder).select("price", "total_rooms"))
     model = LinearRegression(labelCol="price", regParam=0.0, solver="normal").fit(rows)
-    line = spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double")
-    fitted = rows.withColumn("prediction", F.lit(line.first()["intercept"]) + F.col("total_rooms") * line.first()["slope"])
-    quality = lm.regression_metrics(fitted, "price", "prediction").select("r2")
+    quality = lm.regression_metrics(model.transform(rows), "price", "prediction")
     return rounded(quality.select(
         F.lit(float(model.coefficients[0])).alias("slope"), F.lit(float(model.intercept)).alias("intercept"), "r2"),
         {"slope": 3, "intercept": 2, "r2": 5})
@@ -110,11 +109,10 @@ def ml_prepared(spark, folder):
     """Imputed, standardised and one-hot rows: the spread of every slot of the feature vector."""
     rows = model_source(spark, folder)
     numeric, categorical = preparation.feature_columns(rows, TARGET, ID)
-    prepared = preparation.preprocessing(rows, numeric, categorical).fit(rows).transform(rows)
-    size = len(lm.vector_sources(prepared))
-    from pyspark.ml.functions import vector_to_array
+    modes = preparation.most_frequent(rows, categorical)
+    prepared = preparation.preprocessing(numeric, modes).fit(rows).transform(rows)
     slots = prepared.select(F.posexplode(vector_to_array(preparation.FEATURES)).alias("slot", "value"))
-    return slots.where(F.col("slot") < size).groupBy("slot").agg(
+    return slots.groupBy("slot").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"))
 
 
