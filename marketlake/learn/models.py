@@ -61,14 +61,15 @@ def fit(
     folds: int = 3,
     parallelism: int = 4,
 ) -> list[Fitted]:
-    """Fit the named models. The prepared training rows are kept while the models read them again and again;
+    """Fit the named models. Training rows, raw and prepared, are kept while they are read again and again;
     lost blocks are recomputed. Grids with more than one point are searched by cross-validation on hash folds."""
-    modes = most_frequent(train, categorical)
-    prepare = preprocessing(numeric, modes).fit(train)
-    rows = with_folds(prepare.transform(train), id_column, folds).select(
-        FEATURES, F.col(target).cast("double").alias("label"), "fold").persist(StorageLevel.MEMORY_AND_DISK)
-    found = []
+    source = train.select(id_column, target, *numeric, *categorical).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, found = None, []
     try:
+        modes = most_frequent(source, categorical)
+        prepare = preprocessing(numeric, modes).fit(source)
+        rows = with_folds(prepare.transform(source), id_column, folds).select(
+            FEATURES, F.col(target).cast("double").alias("label"), "fold").persist(StorageLevel.MEMORY_AND_DISK)
         for name, (estimator, default_grid) in regressors().items():
             if names and name not in names:
                 continue
@@ -87,7 +88,9 @@ def fit(
             found.append(Fitted(name, PipelineModel([*prepare.stages, best]), numeric, list(modes),
                                 _chosen(best, grid or ["fitIntercept"])))
     finally:
-        rows.unpersist()
+        for kept in (rows, source):
+            if kept is not None:
+                kept.unpersist()
     return found
 
 

@@ -14,6 +14,7 @@ from marketlake.learn import models as lm
 from marketlake.learn import preparation, scoring
 from marketlake.plans import analytics, serving
 from marketlake.queries.base import LISTINGS, Family, r, rounded
+from marketlake.queries.stored import stored
 from marketlake.sources.orders_market import listings_view
 
 family = Family()
@@ -34,8 +35,8 @@ def model_source(spark, folder):
 
 
 def trained(spark, folder, names):
-    """(fitted models with test metrics, test rows)."""
-    rows = model_source(spark, folder)
+    """(fitted models with test metrics, test rows), from the stored feature rows."""
+    rows = stored(spark, folder, "model_rows", model_source)
     train, test = preparation.train_test(rows, ID)
     numeric, categorical = preparation.feature_columns(rows, TARGET, ID)
     fitted = lm.fit(train, TARGET, ID, numeric, categorical, names, GRIDS)
@@ -107,7 +108,7 @@ def ml_split(spark, folder):
 @family.add("ml_prepared")
 def ml_prepared(spark, folder):
     """Imputed, standardised and one-hot rows: the spread of every slot of the feature vector."""
-    rows = model_source(spark, folder)
+    rows = stored(spark, folder, "model_rows", model_source)
     numeric, categorical = preparation.feature_columns(rows, TARGET, ID)
     modes = preparation.most_frequent(rows, categorical)
     prepared = preparation.preprocessing(numeric, modes).fit(rows).transform(rows)
@@ -160,6 +161,14 @@ def prediction_mart(spark, folder, names=(lm.LINEAR,)):
     return results, models
 
 
+def stored_models(spark, folder):
+    return stored(spark, folder, "models", lambda spark, folder: model_marts(spark, folder, [lm.LINEAR, lm.FOREST])[0])
+
+
+def stored_predictions(spark, folder):
+    return stored(spark, folder, "predictions", lambda spark, folder: prediction_mart(spark, folder)[0])
+
+
 @family.add("ml_select")
 def ml_select(spark, folder):
     return lm.best_of(model_marts(spark, folder, [lm.LINEAR, lm.BOOSTING])[3])
@@ -177,25 +186,27 @@ def mart_predictions(spark, folder):
 
 @family.add("serving_models")
 def serving_models(spark, folder):
-    return serving.model_list(model_marts(spark, folder, [lm.LINEAR, lm.FOREST])[0])
+    return serving.model_list(stored_models(spark, folder))
 
 
 @family.add("serving_active_model")
 def serving_active_model(spark, folder):
-    return serving.active_model(model_marts(spark, folder, [lm.LINEAR, lm.FOREST])[0])
+    return serving.active_model(stored_models(spark, folder))
 
 
 @family.add("serving_predictions")
 def serving_predictions(spark, folder):
-    results, models = prediction_mart(spark, folder)
+    """Predictions of one model, listed with its row of the model mart."""
+    results = stored_predictions(spark, folder)
+    models = stored(spark, folder, "linear_models", lambda spark, folder: model_marts(spark, folder, [lm.LINEAR])[0])
     return serving.predictions(results, models)
 
 
 @family.add("serving_prediction_intervals")
 def serving_prediction_intervals(spark, folder):
-    return serving.prediction_intervals(prediction_mart(spark, folder)[0])
+    return serving.prediction_intervals(stored_predictions(spark, folder))
 
 
 @family.add("serving_contributions")
 def serving_contributions(spark, folder):
-    return serving.contributions(prediction_mart(spark, folder)[0])
+    return serving.contributions(stored_predictions(spark, folder))

@@ -11,36 +11,44 @@ from marketlake.plans import serving
 from marketlake.plans.serving import Filters
 from marketlake.queries import marts as m
 from marketlake.queries.base import Family, r, rounded
+from marketlake.queries.stored import stored
 from marketlake.queries.trends import SEASONAL_NAMES
 
 family = Family()
+BUILDERS = {b.__name__: b for b in (
+    m.regional_mart, m.neighborhood_mart, m.seasonal_mart, m.feature_mart, m.regional_variation_mart, m.temporal_variation_mart)}
 ONE_REGION = "ASIA/NATION_7"
 WINDOW = (date(1996, 3, 15), date(1999, 9, 10))
 IN_WINDOW = "make_date(period_year, period_month, 1) between date '1996-03-15' and date '1999-09-10'"
 
 
+def mart(spark, folder, name):
+    """A stored mart, built on first use."""
+    return stored(spark, folder, name, BUILDERS[name])
+
+
 @family.add("serving_regions", f"with {m.REGIONAL_CTES} select distinct region_name from regional_mart")
 def serving_regions(spark, folder):
-    return serving.regions(m.regional_mart(spark, folder))
+    return serving.regions(mart(spark, folder, "regional_mart"))
 
 
 @family.add("serving_neighborhoods", f"with {m.NEIGHBORHOOD_CTES} select neighborhood_name from neighborhood_mart")
 def serving_neighborhoods(spark, folder):
-    return serving.neighborhoods(m.neighborhood_mart(spark, folder), m.regional_mart(spark, folder))
+    return serving.neighborhoods(mart(spark, folder, "neighborhood_mart"), mart(spark, folder, "regional_mart"))
 
 
 @family.add("serving_neighborhoods_of_region", f"""
 with {m.NEIGHBORHOOD_CTES} select neighborhood_name from neighborhood_mart
 where region_id in (select region_id from region_ids where region_name = '{ONE_REGION}')""")
 def serving_neighborhoods_of_region(spark, folder):
-    return serving.neighborhoods(m.neighborhood_mart(spark, folder), m.regional_mart(spark, folder), ONE_REGION)
+    return serving.neighborhoods(mart(spark, folder, "neighborhood_mart"), mart(spark, folder, "regional_mart"), ONE_REGION)
 
 
 @family.add("serving_date_range", f"""
 with {m.REGIONAL_CTES} select min(make_date(period_year, period_month, 1)) as min_date,
   max(make_date(period_year, period_month, 1)) as max_date from regional_mart""")
 def serving_date_range(spark, folder):
-    return serving.date_range(m.regional_mart(spark, folder))
+    return serving.date_range(mart(spark, folder, "regional_mart"))
 
 
 def _by_region(condition: str, weighted: bool = False) -> str:
@@ -59,39 +67,39 @@ PRICE_DIGITS = {"avg_price": 4, "median_price": 4}
 
 @family.add("serving_price_by_region", _by_region("true"))
 def serving_price_by_region(spark, folder):
-    return rounded(serving.price_by_region(m.regional_mart(spark, folder)), PRICE_DIGITS)
+    return rounded(serving.price_by_region(mart(spark, folder, "regional_mart")), PRICE_DIGITS)
 
 
 @family.add("serving_price_by_region_filtered", _by_region(f"{IN_WINDOW} and region_name = '{ONE_REGION}'"))
 def serving_price_by_region_filtered(spark, folder):
     filters = Filters(region=ONE_REGION, start=WINDOW[0], end=WINDOW[1])
-    return rounded(serving.price_by_region(m.regional_mart(spark, folder), filters), PRICE_DIGITS)
+    return rounded(serving.price_by_region(mart(spark, folder, "regional_mart"), filters), PRICE_DIGITS)
 
 
 @family.add("serving_price_by_region_weighted", _by_region("true", weighted=True))
 def serving_price_by_region_weighted(spark, folder):
-    return rounded(serving.price_by_region(m.regional_mart(spark, folder), weighted=True), PRICE_DIGITS)
+    return rounded(serving.price_by_region(mart(spark, folder, "regional_mart"), weighted=True), PRICE_DIGITS)
 
 
 @family.add("serving_price_trends", f"""
 with {m.REGIONAL_CTES} select region_name, period_year, period_month, make_date(period_year, period_month, 1) as date,
   avg_price, median_price, transaction_count from regional_mart where {IN_WINDOW}""")
 def serving_price_trends(spark, folder):
-    return serving.price_series(m.regional_mart(spark, folder), Filters(start=WINDOW[0], end=WINDOW[1]))
+    return serving.price_series(mart(spark, folder, "regional_mart"), Filters(start=WINDOW[0], end=WINDOW[1]))
 
 
 @family.add("serving_features", f"""
 with {m.FEATURE_CTES} select feature_id, feature_name, feature_category, global_importance_score, correlation_with_price
 from feature_mart""")
 def serving_features(spark, folder):
-    return serving.feature_list(m.feature_mart(spark, folder))
+    return serving.feature_list(mart(spark, folder, "feature_mart"))
 
 
 @family.add("serving_features_of_category", f"""
 with {m.FEATURE_CTES} select feature_id, feature_name, feature_category, global_importance_score, correlation_with_price
 from feature_mart where feature_category = 'numeric'""")
 def serving_features_of_category(spark, folder):
-    return serving.feature_list(m.feature_mart(spark, folder), "numeric")
+    return serving.feature_list(mart(spark, folder, "feature_mart"), "numeric")
 
 
 @family.add("serving_regional_variation", f"""
@@ -99,7 +107,7 @@ with {m.REGIONAL_VARIATION_CTES} select feature_name, region_name, importance_sc
 from regional_variation_mart join feature_mart using (feature_id) join region_ids using (region_id)""")
 def serving_regional_variation(spark, folder):
     found = serving.regional_variation(
-        m.regional_variation_mart(spark, folder), m.feature_mart(spark, folder), m.regional_mart(spark, folder))
+        mart(spark, folder, "regional_variation_mart"), mart(spark, folder, "feature_mart"), mart(spark, folder, "regional_mart"))
     return rounded(found, {"relative_importance": 6})
 
 
@@ -110,7 +118,7 @@ from temporal_variation_mart join feature_mart using (feature_id)
 where period_year between 1996 and 1999""")
 def serving_temporal_variation(spark, folder):
     return serving.temporal_variation(
-        m.temporal_variation_mart(spark, folder), m.feature_mart(spark, folder), Filters(start=WINDOW[0], end=WINDOW[1]))
+        mart(spark, folder, "temporal_variation_mart"), mart(spark, folder, "feature_mart"), Filters(start=WINDOW[0], end=WINDOW[1]))
 
 
 COMPARISON = """neighborhood_id, neighborhood_name, city_name, region_name, avg_price, price_per_sqft, price_change_yoy,
@@ -120,7 +128,7 @@ COMPARISON = """neighborhood_id, neighborhood_name, city_name, region_name, avg_
 @family.add("serving_neighborhood_comparison", f"""
 with {m.NEIGHBORHOOD_CTES} select {COMPARISON} from neighborhood_mart join region_ids using (region_id)""")
 def serving_neighborhood_comparison(spark, folder):
-    return serving.neighborhood_comparison(m.neighborhood_mart(spark, folder), m.regional_mart(spark, folder))
+    return serving.neighborhood_comparison(mart(spark, folder, "neighborhood_mart"), mart(spark, folder, "regional_mart"))
 
 
 @family.add("serving_neighborhood_comparison_filtered", f"""
@@ -128,7 +136,7 @@ with {m.NEIGHBORHOOD_CTES} select {COMPARISON} from neighborhood_mart join regio
 where region_name = '{ONE_REGION}'""")
 def serving_neighborhood_comparison_filtered(spark, folder):
     return serving.neighborhood_comparison(
-        m.neighborhood_mart(spark, folder), m.regional_mart(spark, folder), Filters(region=ONE_REGION))
+        mart(spark, folder, "neighborhood_mart"), mart(spark, folder, "regional_mart"), Filters(region=ONE_REGION))
 
 
 @family.add("serving_seasonal", f"""
@@ -136,7 +144,7 @@ with {m.SEASONAL_CTES} select region_name, month, {SEASONAL_NAMES.split(' as mon
   price_index, transaction_volume_index, days_on_market_index, year_of_analysis
 from seasonal_mart join region_ids using (region_id)""")
 def serving_seasonal(spark, folder):
-    return serving.seasonal_patterns(m.seasonal_mart(spark, folder), m.regional_mart(spark, folder))
+    return serving.seasonal_patterns(mart(spark, folder, "seasonal_mart"), mart(spark, folder, "regional_mart"))
 
 
 QUALITY = "(cast(walkability_score as double) + cast(school_rating as double) + (10 - cast(crime_index as double))) / 3"
@@ -146,7 +154,7 @@ QUALITY = "(cast(walkability_score as double) + cast(school_rating as double) +
 with {m.NEIGHBORHOOD_CTES} select neighborhood_name, {r(QUALITY, 6)} as quality_score, price_per_sqft,
   {r(f'{QUALITY} / nullif(cast(price_per_sqft as double), 0) * 10000', 6)} as value_index from neighborhood_mart""")
 def serving_value_index(spark, folder):
-    return rounded(serving.value_index(m.neighborhood_mart(spark, folder)), {"quality_score": 6, "value_index": 6})
+    return rounded(serving.value_index(mart(spark, folder, "neighborhood_mart")), {"quality_score": 6, "value_index": 6})
 
 
 NORMS = ("avg_price", "walkability_score", "crime_index")
@@ -159,7 +167,7 @@ select *, {r('avg_price / max(avg_price) over () * 10', 6)} as avg_price_norm,
   {r('walkability_score / max(walkability_score) over () * 10', 6)} as walkability_score_norm,
   {r('10 - crime_index / max(crime_index) over () * 10', 6)} as crime_index_norm from d""")
 def serving_normalised(spark, folder):
-    rows = m.neighborhood_mart(spark, folder).select("neighborhood_name", *[F.col(c).cast("double").alias(c) for c in NORMS])
+    rows = mart(spark, folder, "neighborhood_mart").select("neighborhood_name", *[F.col(c).cast("double").alias(c) for c in NORMS])
     return rounded(serving.scaled_to_ten(rows, NORMS, inverted=["crime_index"]), {f"{c}_norm": 6 for c in NORMS})
 
 
@@ -168,7 +176,7 @@ with {m.REGIONAL_CTES}, d as (select region_name, avg(cast(avg_price as double))
 select region_name, {r('avg_price', 4)} as avg_price,
   {r('(avg_price - min(avg_price) over ()) / (max(avg_price) over () - min(avg_price) over ())', 6)} as price_ratio from d""")
 def serving_price_ratio(spark, folder):
-    rows = serving.price_by_region(m.regional_mart(spark, folder)).select("region_name", "avg_price")
+    rows = serving.price_by_region(mart(spark, folder, "regional_mart")).select("region_name", "avg_price")
     return rounded(serving.min_max_ratio(rows, "avg_price"), {"avg_price": 4, "price_ratio": 6})
 
 
@@ -198,14 +206,14 @@ with {m.REGIONAL_CTES}, b as (select region_name, {r('avg(cast(avg_price as doub
   {r('avg(cast(median_price as double))', 4)} as d from regional_mart group by region_name)
 select region_name, 'avg_price' as measure, a as price from b union all select region_name, 'median_price', d from b""")
 def serving_unpivot(spark, folder):
-    return rounded(serving.price_measures_long(serving.price_by_region(m.regional_mart(spark, folder))), {"price": 4})
+    return rounded(serving.price_measures_long(serving.price_by_region(mart(spark, folder, "regional_mart"))), {"price": 4})
 
 
 @family.add("serving_top_k", f"""
 with {m.NEIGHBORHOOD_CTES} select neighborhood_name, avg_price from neighborhood_mart
 order by avg_price desc, neighborhood_name limit 10""")
 def serving_top_k(spark, folder):
-    best = serving.top(m.neighborhood_mart(spark, folder), 10, F.col("avg_price"), "neighborhood_name")
+    best = serving.top(mart(spark, folder, "neighborhood_mart"), 10, F.col("avg_price"), "neighborhood_name")
     return best.select("neighborhood_name", "avg_price")
 
 
@@ -213,5 +221,5 @@ def serving_top_k(spark, folder):
 with {m.FEATURE_CTES} select feature_id, feature_name, correlation_with_price from feature_mart
 order by abs(correlation_with_price) desc, feature_id limit 5""")
 def serving_top_correlations(spark, folder):
-    best = serving.top(m.feature_mart(spark, folder), 5, F.abs("correlation_with_price"), "feature_id")
+    best = serving.top(mart(spark, folder, "feature_mart"), 5, F.abs("correlation_with_price"), "feature_id")
     return best.select("feature_id", "feature_name", "correlation_with_price")

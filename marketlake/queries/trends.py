@@ -37,6 +37,11 @@ def trends_union(spark, folder):
     return rounded(periods.price_trends(sales_view(spark, folder)), STATS_DIGITS | {"moving_avg_3m": 4})
 
 
+def _monthly_grains(spark, folder):
+    """Only the grains that averages and seasons read."""
+    return periods.period_stats(sales_view(spark, folder), grains=["monthly", "neighborhood_monthly"])
+
+
 @family.add("trends_moving_averages", f"""
 with {SALES}, {TRENDS}
 select * exclude (moving_avg_3m) replace ({r_all(STATS_DIGITS)}),
@@ -55,7 +60,7 @@ from trends where period_type = 'neighborhood_monthly'
 window n3 as (partition by neighborhood order by sale_year, sale_month rows 2 preceding),
        n6 as (partition by neighborhood order by sale_year, sale_month rows 5 preceding)""")
 def trends_moving_averages(spark, folder):
-    return rounded(periods.moving_averages(periods.price_trends(sales_view(spark, folder))), STATS_DIGITS)
+    return rounded(periods.moving_averages(_monthly_grains(spark, folder)), STATS_DIGITS)
 
 
 SEASONAL_NAMES = """['Janvier','Février','Mars','Avril','Mai','Juin','Juillet','Août','Septembre','Octobre',
@@ -92,7 +97,7 @@ SEASONAL_DIGITS = {c: 4 for c in (
 with {SALES}, {TRENDS}, {SEASONAL}
 select * replace ({r_all(SEASONAL_DIGITS)}) from seasonal""")
 def trends_seasonal(spark, folder):
-    return rounded(periods.seasonal_variations(periods.price_trends(sales_view(spark, folder))), SEASONAL_DIGITS)
+    return rounded(periods.seasonal_variations(_monthly_grains(spark, folder)), SEASONAL_DIGITS)
 
 
 def _regional_series(spark, folder):
