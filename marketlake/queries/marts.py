@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketlake.operators import market, periods
+from marketlake.operators import importance, market, periods
 from marketlake.plans import marts, warehouse
 from marketlake.queries import learning_rows as lr
 from marketlake.queries.base import LISTINGS, Family, grain_sql, r
 from marketlake.queries.market import indicators_sql
+from marketlake.queries.stored import stored
 from marketlake.queries.trends import SEASONAL
 from marketlake.sources import contracts
 from marketlake.sources.orders_market import UNIT_ROLES, listings_view, neighborhood_scores
@@ -19,7 +20,12 @@ YEAR = 2001
 
 
 def source(spark, folder):
-    return listings_view(spark, folder, listing=True)
+    """The joined sales every mart starts from, stored once as a layered run would."""
+    return stored(spark, folder, "listings", lambda spark, folder: listings_view(spark, folder, listing=True))
+
+
+def feature_source(spark, folder):
+    return source(spark, folder).withColumn("has_pool", F.col("pool").cast("int"))
 
 
 def region_ids(sales):
@@ -47,16 +53,17 @@ def seasonal_mart(spark, folder):
 
 
 def feature_mart(spark, folder):
-    return marts.feature_importance(lr.ranked_features(spark, folder))
+    return marts.feature_importance(importance.feature_importance(
+        feature_source(spark, folder), lr.NUMERIC, lr.CATEGORICAL, money_scale=2))
 
 
 def regional_variation_mart(spark, folder):
-    rows = lr.feature_source(spark, folder)
+    rows = feature_source(spark, folder)
     return marts.regional_variation(rows, lr.NUMERIC, feature_mart(spark, folder), region_ids(rows))
 
 
 def temporal_variation_mart(spark, folder):
-    return marts.temporal_variation(lr.feature_source(spark, folder), lr.NUMERIC, feature_mart(spark, folder))
+    return marts.temporal_variation(feature_source(spark, folder), lr.NUMERIC, feature_mart(spark, folder))
 
 
 def dec(expression: str, precision: int, scale: int) -> str:
@@ -125,7 +132,6 @@ FEATURE_MART = f"""feature_mart as (
     feature_type as feature_category, {dec('abs_correlation', 5, 2)} as global_importance_score,
     {dec('correlation_with_price', 4, 3)} as correlation_with_price, 'v1.0' as model_version from ranked)"""
 
-REGION_IDS_F = REGION_IDS
 REGIONAL_VARIATION_MART = f"""{REGION_IDS},
 regional_variation as ({lr.by_sql(['region', 'city'])}),
 regional_variation_mart as (
@@ -205,7 +211,7 @@ with {LISTINGS} select region, city, sale_year, count(*) as sales, cast(sum(cast
 from listings group by region, city, sale_year""")
 def io_warehouse_view_sales(spark, folder):
     """SQL text over the published warehouse view of sales."""
-    warehouse.publish_views(listings_view(spark, folder))
+    warehouse.publish_views(source(spark, folder))
     return spark.sql("""
         SELECT region, city, sale_year, count(*) AS sales, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS turnover
         FROM dw_property_sales GROUP BY region, city, sale_year""")
@@ -215,7 +221,7 @@ def io_warehouse_view_sales(spark, folder):
 with {LISTINGS} select sale_year, sale_quarter, count(*) as sales, min(price) as min_price, max(price) as max_price
 from listings group by sale_year, sale_quarter""")
 def io_warehouse_view_time(spark, folder):
-    warehouse.publish_views(listings_view(spark, folder))
+    warehouse.publish_views(source(spark, folder))
     return spark.sql("""
         SELECT sale_year, sale_quarter, sum(properties_sold) AS sales, min(min_price) AS min_price, max(max_price) AS max_price
         FROM dw_time_metrics GROUP BY sale_year, sale_quarter""")
