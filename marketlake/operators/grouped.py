@@ -56,42 +56,44 @@ def summarize(
         *kept,
         *[_middle(F.col(f"__q{i}")[0], F.col(f"__q{i}")[1]).alias(n) for i, n in enumerate(names)])
 
-    large = first.where(is_large)
     # Every column of the first aggregation travels with the bracket, so both uses read one shuffle.
-    bracket = large.select(
+    bracket = first.where(is_large).select(
         *[F.col(k).alias(f"__b_{k}") for k in keys],
         F.struct(*[c for c in first.columns if c not in keys]).alias("__s"))
-    rows = df.select(
-        *keys,
-        F.posexplode(F.array(*[F.col(medians[n]).cast("double") for n in names])).alias("__m", "__x"),
-    ).where(F.col("__x").isNotNull())
+    values = [F.col(medians[n]).cast("double") for n in names]
+    metric = [] if len(names) == 1 else ["__m"]
+    tagged = [values[0].alias("__x")] if not metric else [F.posexplode(F.array(*values)).alias("__m", "__x")]
+    rows = df.select(*keys, *tagged).where(F.col("__x").isNotNull())
     joined = rows.join(bracket, null_safe_match(rows, bracket, [(k, f"__b_{k}") for k in keys]))
-    quantiles = F.array(*[F.col(f"__s.__q{i}") for i in range(len(names))])
-    counts = F.array(*[F.col(f"__s.__n{i}") for i in range(len(names))])
+
+    def of_metric(prefix: str) -> Column:
+        fields = [F.col(f"__s.{prefix}{i}") for i in range(len(names))]
+        return F.get(F.array(*fields), F.col("__m")) if metric else fields[0]
+
     inside = (
-        joined.select(
-            *keys, "__s", "__m", "__x",
-            F.get(quantiles, F.col("__m"))[2].alias("__low"),
-            F.get(quantiles, F.col("__m"))[3].alias("__high"))
-        .where(F.col("__x") <= F.col("__high"))
-        .withColumn("__v", F.when(F.col("__x") >= F.col("__low"), F.col("__x")))
-        .groupBy(*keys, "__s", "__m", "__v").agg(F.count(F.lit(1)).alias("__c")))
-    running = Window.partitionBy(*keys, "__m").orderBy(F.col("__v").asc_nulls_first())
+        joined.where(F.col("__x") <= of_metric("__q")[3])
+        .select(*keys, *metric, "__s", F.when(F.col("__x") >= of_metric("__q")[2], F.col("__x")).alias("__v"))
+        .groupBy(*keys, *metric, "__s", "__v").agg(F.count(F.lit(1)).alias("__c")))
+    running = Window.partitionBy(*keys, *metric).orderBy(F.col("__v").asc_nulls_first())
     ranked = inside.withColumn(
         "__upto", F.sum("__c").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    total = F.get(counts, F.col("__m"))
-    lower_rank, upper_rank = F.floor((total + 1) / 2), F.floor(total / 2) + 1
-    below_hit = F.max(F.when(F.col("__v").isNull() & (F.col("__upto") >= lower_rank), F.lit(1)))
-    low = F.min(F.when(F.col("__upto") >= lower_rank, F.col("__v")))
-    high = F.min(F.when(F.col("__upto") >= upper_rank, F.col("__v")))
-    found = (
-        ranked.groupBy(*keys, "__s", "__m")
-        .agg(F.when(below_hit.isNotNull() | high.isNull(), F.raise_error(F.lit("median bracket missed")).cast("double"))
-             .otherwise(_middle(low, high)).alias("__median")))
-    large_result = (
-        found.groupBy(*keys, "__s")
-        .agg(*[F.max(F.when(F.col("__m") == i, F.col("__median"))).alias(n) for i, n in enumerate(names)])
-        .select(*keys, *[F.col(f"__s.{a}").alias(a) for a in aggregates], *names))
+    total = of_metric("__n")
+    lower = F.when(F.col("__upto") >= F.floor((total + 1) / 2), F.struct("__v"))
+    upper = F.when(F.col("__upto") >= F.floor(total / 2) + 1, F.struct("__v"))
+    ends = []
+    for i in range(len(names)):
+        mine = (F.col("__m") == i) if metric else F.lit(True)
+        ends += [F.min(F.when(mine, lower)).alias(f"__l{i}"), F.min(F.when(mine, upper)).alias(f"__h{i}")]
+
+    def median(i: int) -> Column:
+        """Missing for a group without values; a middle outside the bracket cannot happen and would raise."""
+        low, high, size = F.col(f"__l{i}.__v"), F.col(f"__h{i}.__v"), F.col(f"__s.__n{i}")
+        missed = F.raise_error(F.lit("median outside its bracket")).cast("double")
+        return F.when(size == 0, F.lit(None).cast("double")).when(low.isNull() | high.isNull(), missed).otherwise(
+            _middle(low, high))
+
+    large_result = ranked.groupBy(*keys, "__s").agg(*ends).select(
+        *keys, *[F.col(f"__s.{a}").alias(a) for a in aggregates], *[median(i).alias(n) for i, n in enumerate(names)])
     return small.unionByName(large_result)
 
 
