@@ -17,7 +17,7 @@ from marketlake.operators.merging import keep_one
 from marketlake.plans import analytics, dimensions, marts
 from marketlake.plans.cleaning import clean
 from marketlake.roles import Roles
-from marketlake.sources.files import read_day, read_latest, with_run_date, write_table
+from marketlake.sources.files import read_day, read_latest, with_run_date, write_reconciled, write_table
 
 SOURCE_RANK = {"static": 0, "streaming": 1}
 
@@ -35,7 +35,9 @@ class Layout:
 def land(df: DataFrame, source: str, layout: Layout, run_date: date) -> None:
     """Rows as they came, with processing time and source, in the run day's directory."""
     stamped = df.withColumns({"processing_timestamp": F.current_timestamp(), "source_type": F.lit(source)})
-    write_table(with_run_date(stamped, run_date), layout.path("raw", source))
+    rows, complete = write_reconciled(with_run_date(stamped, run_date), layout.path("raw", source), run_date)
+    if not complete:
+        raise RuntimeError(f"raw/{source}: {rows} rows were sent, but another number landed")
 
 
 def _day(spark: SparkSession, layout: Layout, layer: str, table: str, run_date: date) -> DataFrame:

@@ -63,28 +63,18 @@ def write_table(df: DataFrame, path: str, parts=DAY_PARTS, format: str = "parque
     writer.save(path)
 
 
-def write_reconciled(df: DataFrame, path: str, **options) -> tuple[int, bool]:
-    """Write and compare the rows that went out with the rows that landed in the written partitions.
+def write_reconciled(df: DataFrame, path: str, day: date | None = None, **options) -> tuple[int, bool]:
+    """Write one day (or a table without partitions) and compare rows sent with rows landed.
 
-    Rows are counted while they are written; reading back touches file footers only.
+    Rows are counted while they are written; counting what landed reads the day's file footers only.
     """
     seen = Observation()
-    parts = options.get("parts", DAY_PARTS)
-    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    before = 0 if options.get("mode", "overwrite") == "overwrite" else _landed(df, path, parts, options)
-    write_table(observed, path, **options)
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, **options)
+    landed = df.sparkSession.read.format(options.get("format", "parquet")).option("header", True).load(path)
+    if day is not None:
+        landed = landed.where(_is_partition(DAY_PARTS, (day.year, day.month, day.day)))
     rows = seen.get["rows"]
-    return rows, _landed(df, path, parts, options) - before == rows
-
-
-def _landed(df: DataFrame, path: str, parts, options) -> int:
-    if not exists(df.sparkSession, path):
-        return 0
-    table = df.sparkSession.read.format(options.get("format", "parquet")).option("header", True).load(path)
-    if parts:
-        written = df.select(*parts).distinct()
-        table = table.join(written, list(parts), "left_semi")
-    return table.count()
+    return rows, landed.count() == rows
 
 
 def read_day(spark: SparkSession, root: str, day: date, hour: int | None = None) -> DataFrame | None:

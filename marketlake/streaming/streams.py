@@ -53,7 +53,11 @@ def clean_stream(stream: DataFrame, path: str, checkpoint: str, stats: dict[str,
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], parts: list[str], order: list[str]) -> StreamingQuery:
     """Keep a keyed table current: each micro-batch replaces the rows it names, in the partitions it touches."""
     def handle(batch: DataFrame, number: int) -> None:
-        upsert_table(batch.sparkSession, path, batch, keys, parts, order)
+        batch.persist()  # read several times: touched partitions, anti-join, new rows
+        try:
+            upsert_table(batch.sparkSession, path, batch, keys, parts, order)
+        finally:
+            batch.unpersist()
 
     return for_each_batch(stream, handle, checkpoint)
 

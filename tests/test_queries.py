@@ -37,3 +37,30 @@ def test_query_matches_sql(spark, folder, duck, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(frame.columns)
     assert rows_of(frame.columns, [tuple(r) for r in frame.collect()]) == rows_of(names, cursor.fetchall())
+
+
+PLANNED = ["trends_union", "market_indicators", "quality_outlier_flags", "quality_score", "quality_outliers_by_group",
+           "features_table", "join_group_average", "rules_previous_price", "clean_row_number", "importance_ranked",
+           "io_upsert_merge", "io_key_violations", "ml_interval", "ml_error_histogram", "stream_dedup_batch"]
+
+
+@pytest.mark.parametrize("name", PLANNED)
+def test_plans_have_no_cross_join_and_no_python(spark, folder, name):
+    plan = entry_points.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"):
+        assert node not in plan
+
+
+def test_a_hot_key_gives_the_same_trends(spark, folder):
+    """A third of all sales in one city: the two-pass medians equal the built-in percentile."""
+    from marketlake.operators import grouped, periods
+    from marketlake.sources.orders_market import sales_view
+    from pyspark.sql import functions as F
+    sales = sales_view(spark, folder).withColumn(
+        "city", F.when(F.col("property_id") % 3 == 0, F.lit("HOT")).otherwise(F.col("city")))
+    rows = periods.sale_rows(sales, periods.Roles())
+    found = grouped.summarize(rows, ["city"], {"n": F.count("property_id")}, {"median": "price"}, accuracy=100)
+    want = rows.groupBy("city").agg(F.count("property_id").alias("n"), F.percentile("price", F.lit(0.5)).alias("median"))
+    joined = found.join(want.toDF("city", "n2", "m2"), "city")
+    assert joined.count() == want.count() > 5
+    assert joined.where((F.col("n") != F.col("n2")) | (F.abs(F.col("median") - F.col("m2")) > 1e-6)).count() == 0

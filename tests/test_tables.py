@@ -50,6 +50,8 @@ def test_hours_formats_and_reconciliation(spark, tmp_path):
     csv = str(tmp_path / "c")
     assert files.write_reconciled(numbers(spark, 6), csv, parts=(), format="csv") == (6, True)
     assert files.write_reconciled(numbers(spark, 6), str(tmp_path / "p"), parts=()) == (6, True)
+    for day, n in ((DAY, 6), (NEXT, 4), (DAY, 5)):
+        assert files.write_reconciled(files.with_run_date(numbers(spark, n), day), str(tmp_path / "d"), day) == (n, True)
     assert spark.read.option("header", True).csv(csv).count() == 6
     hashed = str(tmp_path / "x")
     files.write_hashed(files.with_run_date(numbers(spark, 50), DAY), hashed, "k")
@@ -160,6 +162,16 @@ def test_serving_filters(spark):
     assert serving.date_range(mart).first() == (date(2020, 1, 1), date(2021, 5, 1))
 
 
+def test_filters_reach_the_file_scan(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    files.write_table(trend_mart(spark), path, parts=())
+    stored = spark.read.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # the plan text cuts long filter lists otherwise
+    plan = serving.price_by_region(stored, Filters(region="A", start=DAY, end=NEXT))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(region_name,A)" in plan and "GreaterThanOrEqual(period_year,2024)" in plan
+    assert "created_at" not in plan
+
+
 def test_serving_scaling(spark):
     mart = trend_mart(spark)
     scaled = {r.period_month: r for r in serving.scaled_to_ten(mart, ["avg_price"], ["avg_price"]).collect()}
