@@ -5,14 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import ngram_jaccard, substring_dedup
-from marketlake.llm.common import read_table
+from marketlake.llm import best_fit_packing, bpe_codec, ngram_jaccard, quality_fm, substring_dedup, token_counts, toxicity_cnn
+from marketlake.llm.common import held_out, read_table
+
+#: Fixed values of the classifiers' contracts: a score from here on predicts label 1.
+TOXIC_FROM = 0.5
+QUALITY_FROM = 0.3
+METADATA = ("n_chars",)
+
+
+def vocabulary(name: str) -> str:
+    """Place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.join_groups(read_table(spark, folder, "documents"))
 
 
+def op3_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_codec.encode_documents(read_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit_packing.pack(read_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def _predicted(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= least).cast("int").alias("predicted"))
+
+
+def op8_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return _predicted(toxicity_cnn.score_documents(docs, read_table(spark, folder, "labels")), TOXIC_FROM)
+
+
+def op9_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", *METADATA)
+    return _predicted(quality_fm.score_documents(docs, read_table(spark, folder, "labels"), metadata=METADATA, threshold=QUALITY_FROM), QUALITY_FROM)
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: the text without repeated passages, and the lines that went."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
@@ -20,5 +59,6 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "text", "removed_lines", F.size("removed_lines").alias("n_removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard, op3_bpe_codec, op4_best_fit_packing, op6_token_counts, op8_toxicity_cnn, op9_quality_fm, op10_substring_dedup)}
 SQL: dict[str, str] = {}
