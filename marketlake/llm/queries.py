@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import best_fit_packing, bpe_codec, ngram_jaccard, quality_fm, substring_dedup, token_counts, toxicity_cnn
+from marketlake.llm import (
+    best_fit_packing, bpe_codec, language_id, ngram_jaccard, norm_buckets, prefix_forest, quality_fm, substring_dedup, token_counts, toxicity_cnn)
 from marketlake.llm.common import held_out, read_table
 
 #: Fixed values of the classifiers' contracts: a score from here on predicts label 1.
@@ -25,6 +26,13 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.join_groups(read_table(spark, folder, "documents"))
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page and every document: language, posterior, and the language by the text alone."""
+    docs = read_table(spark, folder, "documents")
+    rows = language_id.page_rows(read_table(spark, folder, "pages")).unionByName(language_id.document_rows(docs))
+    return language_id.identify(rows, docs.select("text", "lang"))
+
+
 def op3_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.encode_documents(read_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -33,10 +41,18 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit_packing.pack(read_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_forest.search(read_table(spark, folder, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return norm_buckets.search(read_table(spark, folder, "embeddings"))
+
+
 def _predicted(scored: DataFrame, least: float) -> DataFrame:
     return scored.select(
         "doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= least).cast("int").alias("predicted"))
@@ -60,5 +76,6 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op3_bpe_codec, op4_best_fit_packing, op6_token_counts, op8_toxicity_cnn, op9_quality_fm, op10_substring_dedup)}
+    op1_ngram_jaccard, op2_language_id, op3_bpe_codec, op4_best_fit_packing, op5_prefix_forest, op6_token_counts, op7_norm_buckets, op8_toxicity_cnn,
+    op9_quality_fm, op10_substring_dedup)}
 SQL: dict[str, str] = {}
