@@ -22,6 +22,12 @@ def steady_round(column: Column, digits: int) -> Column:
     return F.round(column.cast("decimal(30,8)"), digits).cast("double")
 
 
+def steady_mean(column: Column | str) -> Column:
+    """Aggregate mean of doubles as an exact decimal sum and one division: the same on every run."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.try_divide(F.sum(value.cast("decimal(30,8)")).cast("double"), F.count(value).cast("double"))
+
+
 def pct_change(current: Column, previous: Column, digits: int = 2) -> Column:
     """Percent change, null unless the previous value is positive."""
     change = ratio(current - previous, previous) * F.lit(100).cast("double")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from marketlake.functions.ids import hash_share
 from marketlake.functions.nulls import NUMERIC
 
-MAX_CATEGORIES = 1000
 FEATURES = "features"
 # Columns computed from the target or naming the row: never features.
 TARGET_DERIVED = ("price_to_neighborhood_ratio", "neighborhood_avg_price", "neighborhood_median_price", "unit_price")
@@ -40,9 +39,9 @@ def feature_columns(df: DataFrame, target: str, id_column: str) -> tuple[list[st
     return numeric, categorical
 
 
-def most_frequent(df: DataFrame, columns: list[str], at_most: int = MAX_CATEGORIES) -> dict[str, str]:
+def most_frequent(df: DataFrame, columns: list[str], at_most: int | None = None) -> dict[str, str]:
     """Mode of each text column (ties: first in text order). Values are counted map-side; one row per column
-    reaches the driver. A column with more than ``at_most`` values raises."""
+    reaches the driver. With ``at_most``, a column with more values raises."""
     if not columns:
         return {}
     pairs = df.select(F.inline(F.array(*[
@@ -50,7 +49,7 @@ def most_frequent(df: DataFrame, columns: list[str], at_most: int = MAX_CATEGORI
     counted = pairs.where(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("name").agg(
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"), F.count(F.lit(1)).alias("values")).collect()
-    wide = [row["name"] for row in best if row["values"] > at_most]
+    wide = [row["name"] for row in best if at_most is not None and row["values"] > at_most]
     if wide:
         raise ValueError(f"more than {at_most} categories in {wide}")
     modes = {row["name"]: row["value"] for row in best}

@@ -8,25 +8,31 @@ from pyspark.sql import functions as F
 from marketlake.functions.numbers import ratio, ratio_or_numerator
 from marketlake.functions.text import column_suffix
 
-MAX_CATEGORIES = 1000
+def category_lists(df: DataFrame, columns: list[str], at_most: int | None = None) -> dict[str, list]:
+    """Distinct non-null values of each column, sorted, from one job: the column names of a wide one-hot table.
 
-
-def category_lists(df: DataFrame, columns: list[str], at_most: int = MAX_CATEGORIES) -> dict[str, list]:
-    """Distinct non-null values of each column, sorted, from one job.
-
-    Values are made distinct map-side and per pair before anything reaches the driver. A column with more
-    than ``at_most`` values raises: such a column is not a category and must be indexed instead.
+    Values are made distinct map-side and per pair before anything reaches the driver. With ``at_most``, a column with
+    more values raises. For columns whose values grow with the table use ``one_hot_rows``, which needs no list.
     """
     pairs = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns
     ]))).where(F.col("value").isNotNull()).distinct()
-    found = pairs.limit(at_most * len(columns) + 1).collect()  # bounded: more than this is an error
+    if at_most is not None:
+        pairs = pairs.limit(at_most * len(columns) + 1)  # more than this is an error
+    found = pairs.collect()
     lists = {c: sorted(r["value"] for r in found if r["name"] == c) for c in columns}
-    if len(found) > at_most * len(columns) or any(len(v) > at_most for v in lists.values()):
+    if at_most is not None and (len(found) > at_most * len(columns) or any(len(v) > at_most for v in lists.values())):
         raise ValueError(f"more than {at_most} categories in one of {columns}")
     return lists
 
 
+def one_hot_rows(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+    """``(id, feature, value)``: the ones of a one-hot table as rows, for any number of categories."""
+    marks = F.array(*[F.struct(
+        F.concat(F.lit(f"{c}_"), F.col(f"`{c}`").cast("string")).alias("feature"), F.lit(1).alias("value")) for c in columns])
+    return df.select(F.col(id_column), F.inline(F.filter(marks, lambda m: m["feature"].isNotNull())))
+
+
 def one_hot(df: DataFrame, categories: dict[str, list], numeric_names: bool = False) -> list[Column]:
     """1/0 columns named ``<column>_<value>``. Values whose names coincide share no column: the later one
     in sorted order gets a numbered suffix."""

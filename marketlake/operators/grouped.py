@@ -72,12 +72,12 @@ def summarize(
 
     inside = (
         joined.where(F.col("__x") <= of_metric("__q")[3])
-        .select(*keys, *metric, "__s", F.when(F.col("__x") >= of_metric("__q")[2], F.col("__x")).alias("__v"))
-        .groupBy(*keys, *metric, "__s", "__v").agg(F.count(F.lit(1)).alias("__c")))
+        .select(*keys, *metric, of_metric("__n").alias("__total"), F.when(F.col("__x") >= of_metric("__q")[2], F.col("__x")).alias("__v"))
+        .groupBy(*keys, *metric, "__total", "__v").agg(F.count(F.lit(1)).alias("__c")))
     running = Window.partitionBy(*keys, *metric).orderBy(F.col("__v").asc_nulls_first())
     ranked = inside.withColumn(
         "__upto", F.sum("__c").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    total = of_metric("__n")
+    total = F.col("__total")
     lower = F.when(F.col("__upto") >= F.floor((total + 1) / 2), F.struct("__v"))
     upper = F.when(F.col("__upto") >= F.floor(total / 2) + 1, F.struct("__v"))
     ends = []
@@ -92,7 +92,9 @@ def summarize(
         return F.when(size == 0, F.lit(None).cast("double")).when(low.isNull() | high.isNull(), missed).otherwise(
             _middle(low, high))
 
-    large_result = ranked.groupBy(*keys, "__s").agg(*ends).select(
+    # Grouped by the keys alone: the floating-point aggregates may differ in their last bits if a lost task runs again.
+    middles = ranked.groupBy(*keys).agg(*ends)
+    large_result = middles.join(bracket, null_safe_match(middles, bracket, [(k, f"__b_{k}") for k in keys])).select(
         *keys, *[F.col(f"__s.{a}").alias(a) for a in aggregates], *[median(i).alias(n) for i, n in enumerate(names)])
     return small.unionByName(large_result)
 

@@ -58,13 +58,14 @@ def trend_line(df: DataFrame, keys: list[str], order: list[str], value: str) ->
         .withColumn("fitted", F.col("intercept") + F.col("slope") * F.col("position")))
 
 
-def number_rows(df: DataFrame, order: str, name: str, start: int = 1, parts: int = 64) -> DataFrame:
-    """Consecutive numbers in the order of a unique numeric column, computed in ``parts`` ranges.
+def number_rows(df: DataFrame, order: str, name: str, start: int = 1, parts: int | None = None) -> DataFrame:
+    """Consecutive numbers in the order of a unique numeric column, computed in ``parts`` ranges (as many as a shuffle has).
 
     A window without partitions would sort the table in one task. Range edges come from one approximate
     quantile job; each range numbers its rows and adds the number of rows in the ranges before it.
     """
-    edges = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)))
+    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], min(0.001, 0.1 / parts))))
     if edges:
         cut = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="__order", outputCol="__part")
         ranged = cut.transform(df.withColumn("__order", F.col(order).cast("double"))).drop("__order")

@@ -19,11 +19,35 @@ def keep_one(df: DataFrame, keys: list[str], order: list[str], last: bool = Fals
     return df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(pick.alias("__row")).select("__row.*")
 
 
+def one_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the first in ``order`` (ties: by the hash of the row); a row with a null key names nothing and stays."""
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    tied = df.where(known).withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return keep_one(tied, keys, [*order, "__tie"]).drop("__tie").unionByName(df.where(~known))
+
+
+def _single(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The batch itself; a key that it names twice raises, since nothing says which row holds."""
+    row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+    grouped = batch.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
+        F.any_value(row).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    twice = F.raise_error(F.lit(f"a key of {keys} is twice in the batch; name an order")).cast("boolean")
+    return grouped.where(F.when(F.col("__n") > 1, twice).otherwise(True)).select("__row.*")
+
+
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Target with every row whose key is in the batch replaced by the batch's row."""
-    if order:
-        batch = keep_one(batch, keys, order, last=True)
-    return target.join(batch.select(*keys), keys, "left_anti").unionByName(batch.select(*target.columns))
+    """Target with every row whose key is in the batch replaced by the batch's row.
+
+    With ``order``, the last row of a key holds, whether it comes from the batch or, if the target has the order's columns,
+    from the target: a late row never replaces a newer one. Without, the batch holds and must name each key once.
+    """
+    if not order:
+        single = _single(batch, keys)
+        return target.join(batch.select(*keys), keys, "left_anti").unionByName(single.select(*target.columns))
+    if not set(order) <= set(target.columns):
+        latest = keep_one(batch, keys, order, last=True)
+        return target.join(latest.select(*keys), keys, "left_anti").unionByName(latest.select(*target.columns))
+    return keep_one(target.unionByName(batch.select(*target.columns)), keys, order, last=True)
 
 
 def combine_sources(batch: DataFrame, stream: DataFrame, key: str, order: list[str]) -> DataFrame:

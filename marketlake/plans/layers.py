@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.operators.merging import keep_one
+from marketlake.operators.merging import one_of_each
 from marketlake.plans import analytics, dimensions, marts
 from marketlake.plans.cleaning import clean
 from marketlake.roles import Roles
@@ -53,10 +53,10 @@ def refine(spark: SparkSession, source: str, layout: Layout, run_date: date, **c
 
 
 def build_dimensions(spark: SparkSession, sources: list[str], layout: Layout, run_date: date, id_column: str = "Id") -> None:
-    """Union of the cleaned sources, one row per id (batch before stream), as four dimension tables."""
+    """Union of the cleaned sources, one row per id (batch before stream; rows without an id all stay), as four dimension tables."""
     rows = [_day(spark, layout, "bronze", s, run_date).withColumn("__rank", F.lit(SOURCE_RANK.get(s, 9))) for s in sources]
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    single = keep_one(united, [id_column], ["__rank"]).drop("__rank") if len(sources) > 1 else united.drop("__rank")
+    single = one_of_each(united, [id_column], ["__rank"]).drop("__rank")
     for name, table in dimensions.dimension_tables(single).items():
         write_table(with_run_date(table, run_date), layout.path("silver", name))
 

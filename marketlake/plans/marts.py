@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlake.functions.numbers import index_to_mean, ratio
+from marketlake.functions.numbers import index_to_mean, ratio, steady_mean, steady_round
 from marketlake.operators import importance, market
 from marketlake.operators.history import dictionary
 from marketlake.sources import contracts
@@ -29,17 +29,11 @@ def regional_trends(trends: DataFrame, regions: DataFrame) -> DataFrame:
     months = trends.where((F.col("period_type") == "monthly") & F.col("region").isNotNull())
     rows = market.with_momentum(months, ["region", "city"]).select(
         region_key().alias("region_name"), F.col("sale_year").alias("period_year"), F.col("sale_month").alias("period_month"),
-        "avg_price", "median_price", "min_price", "max_price", _fits("price_momentum", 5, 2),
+        "avg_price", "median_price", "min_price", "max_price", "price_momentum",
         F.col("properties_sold").alias("transaction_count"))
     return contracts.conform(rows.join(regions, "region_name"), contracts.REGIONAL_TRENDS)
 
 
-def _fits(name: str, precision: int, scale: int) -> Column:
-    """Null for a percentage too large for its column, instead of a failed load."""
-    limit = 10.0 ** (precision - scale) - 10.0 ** -scale
-    return F.when(F.abs(F.col(name)) <= limit, F.col(name)).alias(name)
-
-
 def neighborhood_comparison(
     trends: DataFrame,
     indicators: DataFrame,
@@ -48,19 +42,19 @@ def neighborhood_comparison(
     scores: DataFrame | None = None,
 ) -> DataFrame:
     """One row per neighborhood: mean prices, price change of the latest month over the same month a year
-    before, mean days on market, and the optional scores (walkability, school, crime).
+    before (0 where no month has one), mean days on market, and the optional scores (walkability, school, crime).
 
     ``places`` is any table with neighborhood, city and region; each neighborhood takes its first city.
     """
     months = trends.where((F.col("period_type") == "neighborhood_monthly") & F.col("neighborhood").isNotNull())
     changed = market.with_year_over_year(months, ["neighborhood"])
-    unit = F.avg("avg_unit_price") if "avg_unit_price" in trends.columns else F.lit(None).cast("double")
+    unit = steady_mean("avg_unit_price") if "avg_unit_price" in trends.columns else F.lit(None).cast("double")
     when = F.col("sale_year") * 100 + F.col("sale_month")
     prices = changed.groupBy("neighborhood").agg(
-        F.avg("avg_price").alias("avg_price"), unit.alias("price_per_sqft"),
+        steady_mean("avg_price").alias("avg_price"), unit.alias("price_per_sqft"),
         F.max_by("yoy_pct", F.when(F.col("yoy_pct").isNotNull(), when)).alias("price_change_yoy"))
     days = indicators.where(F.col("location_type") == "neighborhood").groupBy("neighborhood").agg(
-        F.avg("avg_days_on_market").alias("avg_days_on_market"))
+        steady_mean("avg_days_on_market").alias("avg_days_on_market"))
     located = places.where(F.col("neighborhood").isNotNull()).groupBy("neighborhood").agg(
         F.min(F.struct("city", region_key().alias("region_name"))).alias("place"))
     rows = (
@@ -72,8 +66,8 @@ def neighborhood_comparison(
     return contracts.conform(rows.select(
         "neighborhood_id", F.col("neighborhood").alias("neighborhood_name"), F.col("place.city").alias("city_name"),
         "region_id", "avg_price", "price_per_sqft",
-        F.coalesce(_fits("price_change_yoy", 5, 2), F.lit(0.0)).alias("price_change_yoy"),
-        F.coalesce(F.round("avg_days_on_market"), F.lit(DAYS_DEFAULT)).alias("avg_days_on_market"),
+        F.coalesce("price_change_yoy", F.lit(0.0)).alias("price_change_yoy"),
+        F.coalesce(steady_round(F.col("avg_days_on_market"), 0), F.lit(DAYS_DEFAULT)).alias("avg_days_on_market"),
         *[F.col(c) for c in ("walkability_score", "school_rating", "crime_index") if c in rows.columns]),
         contracts.NEIGHBORHOODS)
 

@@ -70,8 +70,9 @@ def dec(expression: str, precision: int, scale: int) -> str:
     return f"cast(round(cast({expression} as decimal(30,8)), {scale}) as decimal({precision},{scale}))"
 
 
-def fits(expression: str) -> str:
-    return f"case when abs({expression}) <= 999.99 then {expression} end"
+def steady_mean(column: str) -> str:
+    """The SQL form of ``numbers.steady_mean``."""
+    return f"(cast(sum(cast({column} as decimal(30,8))) as double) / count({column}))"
 
 
 MONTHLY_L = grain_sql("monthly", ("region", "city", "sale_year", "sale_month"), ", avg(unit_price) as avg_unit_price", "listings")
@@ -86,7 +87,7 @@ moved as (select *, case when p > 0 then {r('(avg_price - p) / p * 100', 2)} end
 regional_mart as (
   select region_id, region_name, sale_year as period_year, sale_month as period_month, {dec('avg_price', 12, 2)} as avg_price,
     {dec('median_price', 12, 2)} as median_price, {dec('min_price', 12, 2)} as min_price, {dec('max_price', 12, 2)} as max_price,
-    {dec(fits('momentum'), 5, 2)} as price_momentum, cast(properties_sold as int) as transaction_count
+    {dec('momentum', 12, 2)} as price_momentum, cast(properties_sold as int) as transaction_count
   from moved join region_ids on region_name = region || '/' || city)"""
 
 SCORES = """scores as (
@@ -102,15 +103,15 @@ n_changed as (
   from n_months a left join n_months b on a.neighborhood = b.neighborhood and a.sale_month = b.sale_month
     and a.sale_year = b.sale_year + 1),
 n_prices as (
-  select neighborhood, avg(avg_price) as avg_price, avg(avg_unit_price) as unit,
+  select neighborhood, {steady_mean('avg_price')} as avg_price, {steady_mean('avg_unit_price')} as unit,
     arg_max(yoy, case when yoy is not null then sale_year * 100 + sale_month end) as yoy from n_changed group by neighborhood),
-n_days as (select neighborhood, avg(avg_days_on_market) as days from indicators group by neighborhood),
+n_days as (select neighborhood, {steady_mean('avg_days_on_market')} as days from indicators group by neighborhood),
 n_places as (select neighborhood, min(city) as city, min(region || '/' || city) as region_name from listings group by neighborhood),
 {SCORES},
 neighborhood_mart as (
   select cast(row_number() over (order by neighborhood) as int) as neighborhood_id, neighborhood as neighborhood_name,
     city as city_name, region_id, {dec('avg_price', 12, 2)} as avg_price, {dec('unit', 8, 2)} as price_per_sqft,
-    coalesce({dec(fits('yoy'), 5, 2)}, 0) as price_change_yoy, cast(round(days) as int) as avg_days_on_market,
+    coalesce({dec('yoy', 12, 2)}, 0) as price_change_yoy, cast({r('days', 0)} as int) as avg_days_on_market,
     {dec('walkability_score', 4, 1)} as walkability_score, {dec('school_rating', 4, 1)} as school_rating,
     {dec('crime_index', 4, 1)} as crime_index
   from n_prices join n_days using (neighborhood) join n_places using (neighborhood) join scores using (neighborhood)

@@ -88,6 +88,13 @@ def serving_price_trends(spark, folder):
     return serving.price_series(mart(spark, folder, "regional_mart"), Filters(start=WINDOW[0], end=WINDOW[1]))
 
 
+@family.add("serving_price_trends_all", f"""
+with {m.REGIONAL_CTES} select region_name, period_year, period_month, make_date(period_year, period_month, 1) as date,
+  avg_price, median_price, transaction_count from regional_mart""")
+def serving_price_trends_all(spark, folder):
+    return serving.price_series(mart(spark, folder, "regional_mart"), Filters())
+
+
 @family.add("serving_features", f"""
 with {m.FEATURE_CTES} select feature_id, feature_name, feature_category, global_importance_score, correlation_with_price
 from feature_mart""")
@@ -121,6 +128,14 @@ def serving_temporal_variation(spark, folder):
         mart(spark, folder, "temporal_variation_mart"), mart(spark, folder, "feature_mart"), Filters(start=WINDOW[0], end=WINDOW[1]))
 
 
+@family.add("serving_temporal_variation_all", f"""
+with {m.TEMPORAL_VARIATION_CTES} select feature_name, period_year, period_quarter,
+  period_year || '-Q' || period_quarter as period, importance_score
+from temporal_variation_mart join feature_mart using (feature_id)""")
+def serving_temporal_variation_all(spark, folder):
+    return serving.temporal_variation(mart(spark, folder, "temporal_variation_mart"), mart(spark, folder, "feature_mart"), Filters())
+
+
 COMPARISON = """neighborhood_id, neighborhood_name, city_name, region_name, avg_price, price_per_sqft, price_change_yoy,
   avg_days_on_market, walkability_score, school_rating, crime_index"""
 

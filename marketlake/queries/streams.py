@@ -29,23 +29,24 @@ def stream_dedup_batch(spark, folder):
 
 
 @family.add("stream_reconcile", """
-with b as (select event_id from events where event_type <> 'view'), s as (select event_id from events where value > 10)
+with b as (select event_id from events where event_type <> 'view'),
+s as (select event_id from events where value > 10 or event_type = 'view')
 select case when b.event_id is not null and s.event_id is not null then 'both'
             when s.event_id is null then 'batch_only' else 'stream_only' end as side, count(*) as ids
 from b full join s on b.event_id = s.event_id group by 1""")
 def stream_reconcile(spark, folder):
+    """Every event is in the batch source, the stream source or both."""
     rows = table(spark, folder, "events")
-    return merging.reconcile(rows.where("event_type <> 'view'"), rows.where("value > 10"), "event_id")
+    return merging.reconcile(rows.where("event_type <> 'view'"), rows.where("value > 10 or event_type = 'view'"), "event_id")
 
 
 @family.add("stream_union_batch", """
-select event_id, case when event_type <> 'view' then 'static' else 'streaming' end as source, value from events
-where event_type <> 'view' or value > 10""")
+select event_id, case when event_type <> 'view' then 'static' else 'streaming' end as source, value from events""")
 def stream_union_batch(spark, folder):
     """Both sources in one table; an id in both keeps its batch row."""
     rows = table(spark, folder, "events").select("event_id", "ts", "event_type", "value")
     batch = rows.where("event_type <> 'view'").withColumn("source", F.lit("static"))
-    stream = rows.where("value > 10").withColumn("source", F.lit("streaming"))
+    stream = rows.where("value > 10 or event_type = 'view'").withColumn("source", F.lit("streaming"))
     return merging.combine_sources(batch, stream, "event_id", ["ts"]).select("event_id", "source", "value")
 
 
@@ -74,9 +75,23 @@ def stream_tumbling_batch(spark, folder):
     return _without_zone(rounded(counted, {"mean_value": 6}))
 
 
-def _source(spark, folder):
-    schema = table(spark, folder, "events").schema
-    return streams.event_time(streams.read_files(spark, folder, schema, pathGlobFilter="events.parquet"), "ts")
+BATCHES = 4
+
+
+def _source(spark, folder, in_order=True):
+    """The events as a stream of several micro-batches: in event order, or dealt by a hash of the id, so that every
+    batch but the first brings late rows."""
+    rows = table(spark, folder, "events")
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}/in"
+    if in_order:
+        seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+        edges = rows.select(seconds.alias("s")).approxQuantile("s", [k / BATCHES for k in range(1, BATCHES)], 0.01)
+        number = sum(((seconds > int(edge)).cast("int") for edge in edges), F.lit(0))
+    else:
+        number = F.pmod(F.xxhash64("event_id"), F.lit(BATCHES)).cast("int")
+    for k in range(BATCHES):  # one write after another: the stream takes files in the order of their times
+        rows.where(number == k).coalesce(1).write.mode("append").parquet(base)
+    return streams.event_time(streams.read_files(spark, base, rows.schema, maxFilesPerTrigger=1), "ts")
 
 
 def _run(spark, start):
@@ -86,11 +101,12 @@ def _run(spark, start):
     return spark.read.parquet(f"{base}/out")
 
 
-@family.add("stream_sliding")
+@family.add("stream_sliding", f"select * from ({SLIDING}) where window_end <= (select max(ts) - interval 1 hour from events)")
 def stream_sliding(spark, folder):
     """Windows closed by the watermark; the last ones stay open, as more rows could still arrive."""
     counted = streams.sliding(_source(spark, folder), "ts", ["event_type"], "value", SIZE, SLIDE)
-    return _run(spark, lambda out, checkpoint: streams.write_append(counted, out, checkpoint))
+    closed = _run(spark, lambda out, checkpoint: streams.write_append(counted, out, checkpoint))
+    return _without_zone(rounded(closed, {"mean_value": 6}))
 
 
 @family.add("stream_landing", """
@@ -114,8 +130,8 @@ def stream_dedup(spark, folder):
 select event_type, cast(day(ts) as int) as day, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value
 from events group by event_type, day(ts)""")
 def stream_upsert(spark, folder):
-    """The latest event of each type and day, kept current batch by batch."""
-    rows = _source(spark, folder).select("event_type", F.dayofmonth("ts").alias("day"), "event_id", "value", "ts")
+    """The latest event of each type and day, kept current batch by batch although later batches bring older events."""
+    rows = _source(spark, folder, in_order=False).select("event_type", F.dayofmonth("ts").alias("day"), "event_id", "value", "ts")
     table_now = _run(spark, lambda out, checkpoint: streams.upsert_stream(
         rows, out, checkpoint, ["event_type", "day"], ["day"], ["ts", "event_id"]))
     return table_now.select("event_type", "day", "event_id", "value")

@@ -53,7 +53,7 @@ avg_price decimal(12,2)
 median_price decimal(12,2)
 min_price decimal(12,2)
 max_price decimal(12,2)
-price_momentum decimal(5,2)
+price_momentum decimal(12,2)
 transaction_count int
 created_at timestamp
 last_updated timestamp"""), ("region_id", "period_year", "period_month"))
@@ -64,7 +64,7 @@ city_name string
 region_id int
 avg_price decimal(12,2)
 price_per_sqft decimal(8,2)
-price_change_yoy decimal(5,2)
+price_change_yoy decimal(12,2)
 avg_days_on_market int
 walkability_score decimal(4,1)
 school_rating decimal(4,1)

@@ -4,30 +4,31 @@ from __future__ import annotations
 
 import uuid
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlake.operators.merging import keep_one, upsert
+from marketlake.operators.merging import upsert
 from marketlake.session import shared_dir
 
 DAY_PARTS = ("year", "month", "day")
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _file_system(spark, path)
+    fs, target = file_system(spark, path)
     return fs.exists(target)
 
 
 def partition_values(spark: SparkSession, root: str, parts=DAY_PARTS) -> list[tuple[int, ...]]:
     """Values of the partition directories below ``root``, sorted. Only directories are listed, no file is read."""
-    fs, _ = _file_system(spark, root)
+    fs, _ = file_system(spark, root)
     pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([root, *[f"{p}=*" for p in parts]]))
     found = set()
     for status in fs.globStatus(pattern) or []:
@@ -50,12 +51,17 @@ def with_run_date(df: DataFrame, run_date: date, hour: int | None = None) -> Dat
     return df.withColumns(stamps)
 
 
-def write_table(df: DataFrame, path: str, parts=DAY_PARTS, format: str = "parquet", mode: str = "overwrite") -> None:
+def write_table(
+        df: DataFrame, path: str, parts=DAY_PARTS, format: str = "parquet", mode: str = "overwrite", seen: Observation | None = None) -> None:
     """Write by partition; overwriting replaces only the partitions present, so a rerun leaves one copy.
 
     The rebalance hint lets the adaptive engine size the files and split a partition that holds most rows.
+    ``seen`` counts the rows behind that shuffle, in the tasks that write them, so that a repeated task counts once.
     """
-    writer = (df.hint("rebalance", *parts) if parts else df.hint("rebalance")).write.mode(mode).format(format)
+    rows = df.hint("rebalance", *parts) if parts else df.hint("rebalance")
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+    writer = rows.write.mode(mode).format(format)
     if format == "csv":
         writer = writer.option("header", True)
     if parts:
@@ -69,7 +75,7 @@ def write_reconciled(df: DataFrame, path: str, day: date | None = None, **option
     Rows are counted while they are written; counting what landed reads the day's file footers only.
     """
     seen = Observation()
-    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, **options)
+    write_table(df, path, seen=seen, **options)
     landed = df.sparkSession.read.format(options.get("format", "parquet")).option("header", True).load(path)
     if day is not None:
         landed = landed.where(_is_partition(DAY_PARTS, (day.year, day.month, day.day)))
@@ -108,29 +114,37 @@ def write_hashed(df: DataFrame, path: str, key: str, buckets: int = 3, parts=DAY
     write_table(hashed, path, ("part", *parts))
 
 
+def any_partition(parts: list[str], values: list) -> Column:
+    """Filter for the partitions of the given values, a null value included."""
+    one = [reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(x)) for p, x in zip(parts, v, strict=True)]) for v in values]
+    return reduce(lambda a, b: a | b, one)
+
+
 def upsert_table(spark: SparkSession, root: str, batch: DataFrame, keys: list[str], parts: list[str], order: list[str] | None = None) -> None:
     """Replace rows by key in a partitioned table, rewriting only the partitions the batch touches.
 
     A key must stay in its partition (the partition columns are part of what identifies a row). The merged
     partitions are written to a staging folder first, so the table is never read and overwritten in one job;
-    running the same batch again changes nothing.
+    running the same batch again changes nothing. With ``order``, a late row does not replace a newer one. The values of
+    the touched partitions (one row a directory) become literal filters, so other directories are never read.
     """
     if not exists(spark, root):
-        write_table(keep_one(batch, keys, order, last=True) if order else batch, root, parts)
+        write_table(upsert(batch.limit(0), batch, keys, order), root, parts)
+        return
+    touched = batch.select(*parts).distinct().collect()
+    if not touched:
         return
-    touched = batch.select(*parts).distinct()
-    table = spark.read.parquet(root)
     staging = f"{shared_dir(spark)}/staging/{uuid.uuid4().hex}"
-    current = table.join(touched, parts, "left_semi")
+    current = spark.read.parquet(root).where(any_partition(parts, touched))
     write_table(upsert(current, batch, keys, order), staging, parts)
     write_table(spark.read.parquet(staging), root, parts)
-    fs, target = _file_system(spark, staging)
+    fs, target = file_system(spark, staging)
     fs.delete(target, True)
 
 
 def drop_partitions_before(spark: SparkSession, root: str, day: date) -> list[tuple[int, ...]]:
     """Delete whole day directories older than ``day``; returns their values."""
-    fs, _ = _file_system(spark, root)
+    fs, _ = file_system(spark, root)
     pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([root, *[f"{p}=*" for p in DAY_PARTS]]))
     dropped = []
     for status in fs.globStatus(pattern) or []:

@@ -71,4 +71,4 @@ def replace_rows(df: DataFrame, connect: Callable, statement: str, batch_rows: i
         finally:
             connection.close()
 
-    df.coalesce(connections).foreachPartition(send)
+    df.repartition(connections).foreachPartition(send)

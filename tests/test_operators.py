@@ -263,3 +263,31 @@ def test_nan_and_tokens(spark):
     df = spark.createDataFrame([(math.nan, "NA"), (1.0, "x")], "x double, t string")
     found = df.select(nulls.nan_to_null(F.col("x")), nulls.null_token(F.col("t"))).collect()
     assert [tuple(r) for r in found] == [(None, None), (1.0, "x")]
+
+
+def test_upsert_keeps_the_later_row_and_refuses_unordered_repeats(spark):
+    target = spark.createDataFrame([(1, 5, "new"), (2, 1, "old")], "id int, t int, v string")
+    batch = spark.createDataFrame([(1, 0, "late"), (2, 3, "newer"), (3, 1, "first"), (3, 2, "second")], "id int, t int, v string")
+    found = merging.upsert(target, batch, ["id"], ["t"])
+    assert rows(found) == [(1, 5, "new"), (2, 3, "newer"), (3, 2, "second")]
+    with pytest.raises(Exception, match="twice in the batch"):
+        merging.upsert(target, batch, ["id"]).collect()
+
+
+def test_one_of_each_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (None, 0, "x"), (None, 0, "y"), (2, 0, "c"), (2, 0, "c")], "id int, r int, v string")
+    assert rows(merging.one_of_each(df, ["id"], ["r"])) == sorted([(1, 0, "a"), (2, 0, "c"), (None, 0, "x"), (None, 0, "y")], key=repr)
+
+
+def test_one_hot_of_many_categories(spark):
+    df = spark.range(1500).select("id", F.concat(F.lit("v"), "id").alias("t"), F.lit(None).cast("string").alias("u"))
+    assert len(features.category_lists(df, ["t"])["t"]) == 1500
+    long = features.one_hot_rows(df, "id", ["t", "u"])
+    assert long.count() == 1500 and long.where("feature = 't_v7'").select("id", "value").collect() == [(7, 1)]
+
+
+def test_steady_mean_does_not_depend_on_the_order(spark):
+    values = [0.1 * k for k in range(400)] + [201.5, 1e6 / 3]
+    means = {tuple(spark.createDataFrame([(float(v),) for v in values[::step]], "v double").repartition(3).agg(
+        numbers.steady_mean("v")).first()) for step in (1, -1)}
+    assert len(means) == 1

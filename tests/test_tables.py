@@ -235,3 +235,19 @@ def test_warehouse_views(spark):
     assert len(warehouse.publish_views(df)) == 4
     assert spark.table("dw_property_features").columns == ["property_id", "rooms"]
     assert spark.sql("select properties_sold from dw_location_metrics").first()[0] == 1
+
+
+def test_upsert_reads_touched_partitions_by_literals(spark, tmp_path):
+    root = str(tmp_path / "p")
+    files.upsert_table(spark, root, numbers(spark, 9).withColumn("part", F.col("k") % 3), ["k", "part"], ["part"], ["v"])
+    batch = spark.createDataFrame([(0, -5, 0), (3, 999, 0)], "k int, v int, part int")
+    files.upsert_table(spark, root, batch, ["k", "part"], ["part"], ["v"])
+    assert rows(spark.read.parquet(root).where("part = 0").select("k", "v")) == [(0, 0), (3, 999), (6, 60)]
+    plan = spark.read.parquet(root).where(files.any_partition(["part"], [(0,), (None,)]))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "part" in text.split("PartitionFilters: [")[1].split("]")[0] and "DataFilters: []" in text
+
+
+def test_load_check_counts_what_is_written(spark, tmp_path):
+    sent, complete = files.write_reconciled(numbers(spark, 25), str(tmp_path / "r"), parts=())
+    assert (sent, complete) == (25, True)
