@@ -17,9 +17,10 @@ ONE_HOT_COLUMNS = ("property_type", "condition", "energy_rating", "garage_type",
 
 
 def sales_table(properties: DataFrame, locations: DataFrame) -> DataFrame:
-    """Property and location on the property id."""
+    """Property and location on the property id, with the unit price where the properties have one."""
+    unit = [c for c in ("price_per_sqft",) if c in properties.columns]
     return properties.select(
-        "property_id", "price", "transaction_date", "listing_date", "property_type").join(
+        "property_id", "price", "transaction_date", "listing_date", "property_type", *unit).join(
         locations.select("property_id", "region", "city", "neighborhood"), "property_id")
 
 

@@ -20,6 +20,7 @@ from marketlake.roles import Roles
 from marketlake.sources.files import read_day, read_latest, with_run_date, write_reconciled, write_table
 
 SOURCE_RANK = {"static": 0, "streaming": 1}
+UNIT_ROLES = Roles(unit_price="price_per_sqft")
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ def build_dimensions(spark: SparkSession, sources: list[str], layout: Layout, ru
         write_table(with_run_date(table, run_date), layout.path("silver", name))
 
 
-def build_analytics(spark: SparkSession, layout: Layout, run_date: date, roles: Roles = Roles()) -> None:
+def build_analytics(spark: SparkSession, layout: Layout, run_date: date, roles: Roles = UNIT_ROLES) -> None:
     names = ("property_details", "location_details", "building_features", "sale_history")
     tables = analytics.analytic_tables({n: _day(spark, layout, "silver", n, run_date) for n in names}, roles)
     for name, table in tables.items():
@@ -104,7 +105,7 @@ def latest(spark: SparkSession, layout: Layout, layer: str, table: str) -> DataF
     return read_latest(spark, layout.path(layer, table))
 
 
-def run(spark: SparkSession, sources: dict[str, DataFrame], root: str, run_date: date, roles: Roles = Roles(), **columns) -> Layout:
+def run(spark: SparkSession, sources: dict[str, DataFrame], root: str, run_date: date, roles: Roles = UNIT_ROLES, **columns) -> Layout:
     """All layers for one day. ``columns`` are the outlier and key columns of the cleaning step."""
     layout = Layout(root)
     for name, rows in sources.items():

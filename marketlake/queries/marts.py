@@ -185,6 +185,27 @@ def mart_temporal_variation(spark, folder):
     return temporal_variation_mart(spark, folder).drop(*STAMPS)
 
 
+def key_sql(contract: contracts.Contract, source: str) -> str:
+    """The rules of a contract's own columns, counted in SQL."""
+    uniques = [contract.primary_key, *contract.unique]
+    rules = [(f"unique({','.join(u)})", f"(select 1 from {source} group by {', '.join(u)} having count(*) > 1)") for u in uniques]
+    rules += [(f"not_null({f.name})", f"{source} where {f.name} is null") for f in contract.schema.fields if not f.nullable]
+    return " union all ".join(
+        f"select '{contract.name}' as table_name, '{rule}' as rule, (select count(*) from {counted}) as violations" for rule, counted in rules)
+
+
+def _keys_of(name: str, contract: contracts.Contract, ctes: str, build) -> None:
+    @family.add(f"mart_keys_{name}", f"with {ctes} {key_sql(contract, f'{name}_mart')}")
+    def query(spark, folder):
+        return contracts.violations({contract.name: build(spark, folder)})
+
+
+_keys_of("regional", contracts.REGIONAL_TRENDS, REGIONAL_CTES, regional_mart)
+_keys_of("neighborhood", contracts.NEIGHBORHOODS, NEIGHBORHOOD_CTES, neighborhood_mart)
+_keys_of("seasonal", contracts.SEASONAL, SEASONAL_CTES, seasonal_mart)
+_keys_of("temporal_variation", contracts.TEMPORAL_VARIATION, TEMPORAL_VARIATION_CTES, temporal_variation_mart)
+
+
 @family.add("mart_key_violations", f"""
 with {FEATURE_CTES}, {REGIONAL_VARIATION_MART}
 select 'dm_feature_importance' as table_name, 'unique(feature_id)' as rule,
@@ -193,6 +214,8 @@ union all select 'dm_feature_importance', 'unique(feature_name)',
   (select count(*) from (select 1 from feature_mart group by feature_name having count(*) > 1))
 union all select 'dm_feature_importance', 'not_null(feature_id)', (select count(*) from feature_mart where feature_id is null)
 union all select 'dm_feature_importance', 'not_null(feature_name)', (select count(*) from feature_mart where feature_name is null)
+union all select 'dm_feature_importance', 'not_null(feature_category)', (select count(*) from feature_mart where feature_category is null)
+union all select 'dm_feature_importance', 'not_null(model_version)', (select count(*) from feature_mart where model_version is null)
 union all select 'dm_regional_feature_variation', 'unique(feature_id,region_id)',
   (select count(*) from (select 1 from regional_variation_mart group by feature_id, region_id having count(*) > 1))
 union all select 'dm_regional_feature_variation', 'not_null(feature_id)',

@@ -43,7 +43,8 @@ class Contract:
     references: dict[str, tuple[str, str]] = field(default_factory=dict)
 
 
-# The published mart schemas.
+# The published mart schemas. Measures that can be unknown stay nullable (prices where no sale has
+# one, the change against a month that is not there, a unit price without an area, the correlation of a constant column); percentages are wider, so that none is cut.
 REGIONAL_TRENDS = Contract("dm_regional_price_trends", _fields("""
 region_id int required
 region_name string required
@@ -54,18 +55,18 @@ median_price decimal(12,2)
 min_price decimal(12,2)
 max_price decimal(12,2)
 price_momentum decimal(12,2)
-transaction_count int
+transaction_count int required
 created_at timestamp
 last_updated timestamp"""), ("region_id", "period_year", "period_month"))
 NEIGHBORHOODS = Contract("dm_neighborhood_comparison", _fields("""
 neighborhood_id int required
 neighborhood_name string required
-city_name string
-region_id int
+city_name string required
+region_id int required
 avg_price decimal(12,2)
 price_per_sqft decimal(8,2)
-price_change_yoy decimal(12,2)
-avg_days_on_market int
+price_change_yoy decimal(12,2) required
+avg_days_on_market int required
 walkability_score decimal(4,1)
 school_rating decimal(4,1)
 crime_index decimal(4,1)
@@ -75,20 +76,20 @@ SEASONAL = Contract("dm_seasonal_patterns", _fields("""
 region_id int required
 month int required
 price_index decimal(5,2)
-transaction_volume_index decimal(5,2)
-days_on_market_index decimal(5,2)
+transaction_volume_index decimal(5,2) required
+days_on_market_index decimal(5,2) required
 year_of_analysis int required
 created_at timestamp
 last_updated timestamp"""), ("region_id", "month", "year_of_analysis"))
 FEATURE_IMPORTANCE = Contract("dm_feature_importance", _fields("""
 feature_id int required
 feature_name string required
-feature_category string
+feature_category string required
 global_importance_score decimal(5,2)
 correlation_with_price decimal(4,3)
 created_at timestamp
 updated_at timestamp
-model_version string"""), ("feature_id",), (("feature_name",),))
+model_version string required"""), ("feature_id",), (("feature_name",),))
 REGIONAL_VARIATION = Contract("dm_regional_feature_variation", _fields("""
 feature_id int required
 region_id int required
@@ -105,23 +106,23 @@ created_at timestamp"""), ("feature_id", "period_year", "period_quarter"), (),
 MODELS = Contract("dm_prediction_models", _fields("""
 model_id string required
 model_name string required
-model_version string
-training_date timestamp
-model_params string
-model_metrics string
+model_version string required
+training_date timestamp required
+model_params string required
+model_metrics string required
 is_active boolean
 created_at timestamp
 model_path string"""), ("model_id",))
 PREDICTIONS = Contract("dm_prediction_results", _fields("""
 prediction_id string required
-property_id bigint
-predicted_price decimal(12,2)
-prediction_interval_low decimal(12,2)
-prediction_interval_high decimal(12,2)
+property_id bigint required
+predicted_price decimal(12,2) required
+prediction_interval_low decimal(12,2) required
+prediction_interval_high decimal(12,2) required
 confidence_score decimal(4,3)
-model_id string
-prediction_timestamp timestamp
-feature_contributions string
+model_id string required
+prediction_timestamp timestamp required
+feature_contributions string required
 created_at timestamp"""), ("prediction_id",), (), {"model_id": ("dm_prediction_models", "model_id")})
 
 CONTRACTS = {c.name: c for c in (
@@ -160,6 +161,6 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
         c = CONTRACTS[name]
         reports.append(key_violations(
             df, name, [list(c.primary_key), *[list(u) for u in c.unique]],
-            [f.name for f in c.schema.fields if not f.nullable],
+            [f.name for f in c.schema.fields if not f.nullable and f.name in df.columns],
             [(column, tables[parent], key) for column, (parent, key) in c.references.items() if parent in tables]))
     return reduce(DataFrame.unionByName, reports)

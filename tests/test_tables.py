@@ -222,6 +222,8 @@ def test_all_layers_twice(spark, tmp_path):
     assert scores[1] == 100.0 and scores[5] == pytest.approx(100 / 3)
     marts = layers.mart_tables(spark, layout)
     assert contracts.violations(marts).where("violations > 0").count() == 0
+    units = {r.neighborhood_name: r.price_per_sqft for r in marts["dm_neighborhood_comparison"].collect()}
+    assert any(v is not None for v in units.values())
     for name, table in marts.items():
         assert [f.name for f in table.schema] == [f.name for f in contracts.CONTRACTS[name].schema]
     assert layers.latest(spark, layout, "gold", "price_trends").count() == counts[0]["price_trends"]
