@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from marketlake.queries import (
-    clean, housing, learning, learning_rows, market, marts, quality, scalars, serving, streams, tables, trends)
+    clean, files, housing, learning, learning_rows, market, marts, quality, scalars, serving, streams, tables, trends)
 from marketlake.queries.base import Query
 
 FAMILIES = tuple(module.family for module in (
-    clean, quality, housing, tables, trends, market, learning_rows, marts, serving, scalars, learning, streams))
+    clean, quality, housing, tables, files, trends, market, learning_rows, marts, serving, scalars, learning, streams))
 
 
 def all_queries() -> dict[str, Query]:
