@@ -104,6 +104,6 @@ def search(rows: DataFrame, every: int = 100, top: int = 10) -> DataFrame:
     Components are floor(1024 * x); scores are exact, and held at the limits of a long beyond them. Largest first, equal
     scores by the smaller id; the query's own row is no candidate. Vectors that are null, empty, or hold null or non-finite
     numbers take no part, nor do rows without an id; vectors of different dimensions never meet; a zero vector has products
-    of 0. A row given twice is found twice. Other columns are ignored; an empty table gives no rows.
+    of 0. An id given twice counts once. Other columns are ignored; an empty table gives no rows.
     """
     return vectors.search(vectors.usable(rows), every, top, "long", lambda *block: largest(*block, top))

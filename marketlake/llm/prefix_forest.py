@@ -119,8 +119,8 @@ def search(rows: DataFrame, every: int = 50, top: int = 5, trees: int = TREES, m
 
     Nearest first, equal scores by the smaller id; the query's own row is no candidate, an equal vector of another id is.
     The score is the exact cosine of the original vectors in double precision. Vectors that are null, empty, zero, or hold
-    null or non-finite numbers take no part, nor do rows without an id; vectors of different dimensions never meet. Ids name
-    rows; a row given twice is found twice. Other columns are ignored; an empty table gives no rows.
+    null or non-finite numbers take no part, nor do rows without an id; vectors of different dimensions never meet. An id
+    given twice counts once. Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.usable(rows).where(F.exists("v", lambda x: x != 0))
     return vectors.search(rows, every, top, "double", lambda *block: nearest(*block, top, trees, miss))

@@ -17,11 +17,15 @@ QUERY_BLOCK = 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, dim, v array<double>)`` of the vectors that are not null or empty and hold finite numbers only."""
+    """``(vec_id, dim, v array<double>)`` of the vectors that are not null or empty and hold finite numbers only.
+
+    An id names one row: of rows that repeat it, the vector that is least in array order counts, once.
+    """
     v = F.col("embedding").cast("array<double>")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.where(F.col("vec_id").isNotNull()).select("vec_id", v.alias("v")).where(
-        F.col("v").isNotNull() & (F.size("v") > 0) & finite).select("vec_id", F.size("v").alias("dim"), "v")
+        F.col("v").isNotNull() & (F.size("v") > 0) & finite).groupBy("vec_id").agg(F.min("v").alias("v")).select(
+        "vec_id", F.size("v").alias("dim"), "v")
 
 
 def search(

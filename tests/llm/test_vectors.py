@@ -91,6 +91,13 @@ def test_products_beyond_doubles_and_empty(spark):
     assert norm_buckets.search(df.limit(0)).collect() == [] == prefix_forest.search(df.limit(0)).collect()
 
 
+def test_repeated_ids_count_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(r)[:3] for r in prefix_forest.search(df).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+    assert [tuple(r) for r in norm_buckets.search(df).orderBy("rank").collect()] == [(0, 1, 1, 1048576), (0, 2, 2, 0)]
+
+
 def test_blocks_do_not_change_results(table, monkeypatch):
     whole = sorted(map(tuple, norm_buckets.search(table).collect()))
     monkeypatch.setattr(vectors, "DATA_BLOCK", 400)
