@@ -14,6 +14,9 @@ SAMPLE_CHARS = 8_000_000
 #: Words a worker remembers; emptied beyond it (no result depends on it).
 REMEMBERED_WORDS = 500_000
 
+#: Calibration rows of the rarer class below which the whole sample calibrates.
+LEAST_CALIBRATION = 8
+
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
 
 

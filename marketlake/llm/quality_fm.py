@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import list_column, per_batch, small_batches, texts_of
-from marketlake.llm.labelled import WordCodes, plain_words, training_sample
+from marketlake.llm.labelled import LEAST_CALIBRATION, WordCodes, plain_words, training_sample
 
 #: Hashed words, rank of the interactions, bins of a statistic.
 WORD_SLOTS = 1 << 18
@@ -101,7 +101,8 @@ class Machine:
 
 
 def fit(f: Features, label: np.ndarray, counts: dict[int, int], threshold: float = 0.5, epochs: int = EPOCHS) -> Machine:
-    """Adagrad on the log loss; a quarter of the sample only moves the intercept, so that ``threshold`` divides the classes best.
+    """Adagrad on the log loss; a quarter of the sample only moves the intercept, so that ``threshold`` divides the classes best (with
+    too few rows of a class in it, the whole sample does).
 
     Errors of the two classes count by their shares in the corpus.
     """
@@ -139,8 +140,9 @@ def fit(f: Features, label: np.ndarray, counts: dict[int, int], threshold: float
             m.weights[own] -= 0.1 * dw / np.sqrt(past_w[own])
             m.vectors[own] -= 0.02 * dv / np.sqrt(past_v[own])
             m.intercept -= 0.1 * g.mean() / np.sqrt(past_b)
-    if len(held):
-        m.intercept += np.log(threshold / (1 - threshold)) - _best_cut(m.logits(*rows_of(held))[0], label[held], counts)
+    if min(int((label[held] == k).sum()) for k in (0, 1)) < LEAST_CALIBRATION:
+        held = order
+    m.intercept += np.log(threshold / (1 - threshold)) - _best_cut(m.logits(*rows_of(held))[0], label[held], counts)
     return m
 
 
