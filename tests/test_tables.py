@@ -117,13 +117,16 @@ def test_rows_are_sent_in_batches_from_tasks(spark, tmp_path):
 
 
 def test_conform_casts_rounds_and_refuses(spark):
-    df = spark.createDataFrame([(1, "f", 0.125, 0.5)], "feature_id bigint, feature_name string, global_importance_score double, correlation_with_price double")
+    df = spark.createDataFrame(
+        [(1, "f", "numeric", "v1", 0.125)],
+        "feature_id bigint, feature_name string, feature_category string, model_version string, global_importance_score double")
     found = contracts.conform(df, contracts.FEATURE_IMPORTANCE)
     assert [f.dataType for f in found.schema] == [f.dataType for f in contracts.FEATURE_IMPORTANCE.schema]
     row = found.first()
-    assert str(row.global_importance_score) == "0.13" and row.feature_category is None and row.created_at is not None
-    with pytest.raises(ValueError):
-        contracts.conform(df.drop("feature_name"), contracts.FEATURE_IMPORTANCE)
+    assert str(row.global_importance_score) == "0.13" and row.correlation_with_price is None and row.created_at is not None
+    for required in ("feature_name", "feature_category"):  # declared NOT NULL
+        with pytest.raises(ValueError):
+            contracts.conform(df.drop(required), contracts.FEATURE_IMPORTANCE)
     with pytest.raises(PySparkException):
         contracts.conform(df.withColumn("feature_name", F.lit(None).cast("string")), contracts.FEATURE_IMPORTANCE).collect()
     with pytest.raises(PySparkException):
