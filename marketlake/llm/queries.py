@@ -78,4 +78,29 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_language_id, op3_bpe_codec, op4_best_fit_packing, op5_prefix_forest, op6_token_counts, op7_norm_buckets, op8_toxicity_cnn,
     op9_quality_fm, op10_substring_dedup)}
-SQL: dict[str, str] = {}
+#: Exact by all shingles that two documents share, links closed by recursion.
+OP1_SQL = """
+with recursive w as (
+  select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+') if x <> ''] as w from documents),
+s as (
+  select doc_id, unnest(list_distinct(case when len(w) >= 5 then [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as both_have from s a join s b using (shingle) where a.doc_id < b.doc_id group by all),
+l as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * both_have >= 80 * (p.n + q.n - both_have)),
+links as (select x, y from l union all select y, x from l),
+reach as (select doc_id, doc_id as root from w union select reach.doc_id, links.y from reach join links on links.x = reach.root)
+select doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(root) as component_id from reach left join n using (doc_id) group by doc_id"""
+
+OP7_SQL = """
+with v as (
+  select vec_id, [floor(1024 * cast(x as double)) for x in embedding] as e from embeddings
+  where len(embedding) > 0 and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 10"""
+
+SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op7_norm_buckets": OP7_SQL}
