@@ -37,7 +37,7 @@ def join_groups(docs: DataFrame, percent: int = 80, recall: float = RECALL) -> D
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     # Rows without a shingle have no signature: as many as their id lacks.
-    bare = docs.where(F.coalesce(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", ""), F.lit("")) == "")
+    bare = docs.where(~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
     return found.unionByName(bare.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
