@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from marketlake.llm.common import list_column, per_batch, small_batches, stored, texts_of
 
-#: Documents and bytes of text of each language that the trigrams are learnt from at most.
+#: Documents of each language that the trigrams are learnt from, about: the share of the hash range that holds so many.
 SAMPLE_ROWS = 300
-SAMPLE_BYTES = 1_500_000
 #: Buckets of the hashed trigrams.
 BUCKETS = 1 << 15
 #: Trigrams overlap and repeat: their log likelihood counts by this factor.
@@ -55,30 +54,27 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of every bucket in each, from a bounded sample of ``(text, lang)``.
 
-    In each language the rows of least hash of the text are taken. Without a labelled row there is one language, ``und``.
+    In each language the texts of least hash are taken, repeated ones once; the rows of a language tell where its hashes
+    end, so nothing is sorted. Without a labelled row there is one language, ``und``.
     """
     small_batches(labelled.sparkSession)
     known = labelled.where("lang is not null and text is not null").select("text", "lang")
-    languages = sorted(r[0] for r in known.groupBy("lang").count().collect())
+    rows = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    languages = sorted(rows)
     if not languages:
         return ["und"], np.zeros((BUCKETS, 1))
     number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
-    parts = None
-    for language in languages:
-        part = known.where(F.col("lang") == language).orderBy(F.xxhash64("text")).limit(SAMPLE_ROWS)
-        parts = part if parts is None else parts.union(part)
+    ends = [int(-(2**63) + min(1.0, SAMPLE_ROWS / rows[x]) * (2**64 - 2049)) for x in languages]
+    hashed = known.select("text", number.cast("long").alias("k"), F.xxhash64("text").alias("h"))
+    parts = hashed.where(F.col("h") <= F.element_at(F.array(*map(F.lit, ends)), (F.col("k") + 1).cast("int"))).groupBy("k", "h").agg(
+        F.any_value("text").alias("text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = np.array(batch.column("k"))
-        held, keys = {}, []
-        for k, t in zip(at.tolist(), texts_of(batch.column("text")), strict=True):
-            if held.get(k, 0) < SAMPLE_BYTES:
-                held[k] = held.get(k, 0) + len(t)
-                keys.append(k * BUCKETS + trigrams([t])[0])
+        keys = [k * BUCKETS + trigrams([t])[0] for k, t in zip(batch.column("k").to_pylist(), texts_of(batch.column("text")), strict=True)]
         own, n = np.unique(np.concatenate(keys), return_counts=True)
         return pa.record_batch({"bucket": pa.array(own), "n": pa.array(n)})
 
-    counted = parts.select("text", number.cast("long").alias("k")).mapInArrow(per_batch(work), "bucket long, n long")
+    counted = parts.select("text", "k").mapInArrow(per_batch(work), "bucket long, n long")
     counts = np.full(len(languages) * BUCKETS, 0.2)
     got = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most a row a bucket and language
     counts[np.array(got.column("bucket"))] += np.array(got.column("n"))
