@@ -19,6 +19,8 @@ from marketlake.llm.common import list_column, per_batch, small_batches, stored,
 
 #: Documents of each language that the trigrams are learnt from, about: the share of the hash range that holds so many.
 SAMPLE_ROWS = 300
+#: Tasks that count the trigrams of that sample, which is of bounded size however large the corpus.
+SAMPLE_TASKS = 4
 #: Buckets of the hashed trigrams.
 BUCKETS = 1 << 15
 #: Trigrams overlap and repeat: their log likelihood counts by this factor.
@@ -67,7 +69,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     ends = [int(-(2**63) + min(1.0, SAMPLE_ROWS / rows[x]) * (2**64 - 2049)) for x in languages]
     hashed = known.select("text", number.cast("long").alias("k"), F.xxhash64("text").alias("h"))
     parts = hashed.where(F.col("h") <= F.element_at(F.array(*map(F.lit, ends)), (F.col("k") + 1).cast("int"))).groupBy("k", "h").agg(
-        F.any_value("text").alias("text"))
+        F.any_value("text").alias("text")).coalesce(SAMPLE_TASKS)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [k * BUCKETS + trigrams([t])[0] for k, t in zip(batch.column("k").to_pylist(), texts_of(batch.column("text")), strict=True)]
