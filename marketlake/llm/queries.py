@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.llm import (
-    best_fit_packing, bpe_codec, language_id, ngram_jaccard, norm_buckets, prefix_forest, quality_fm, substring_dedup, token_counts, toxicity_cnn)
-from marketlake.llm.common import held_out, read_table
+    best_fit_packing, bpe_codec, language_id, ngram_jaccard, norm_buckets, prefix_forest, quality_fm, repeated_spans, substring_dedup, token_counts, toxicity_cnn)
+from marketlake.llm.common import held_out, read_table, stored
 
 #: Fixed values of the classifiers' contracts: a score from here on predicts label 1.
 TOXIC_FROM = 0.5
@@ -69,10 +69,11 @@ def op9_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document: the text without repeated passages, and the lines that went."""
+    """Per document: the text without repeated passages, the lines that went, and the words that went in repeated spans of what was left."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    return substring_dedup.remove_repeats(docs).select(
-        "doc_id", "text", "removed_lines", F.size("removed_lines").alias("n_removed"))
+    lines_gone = stored(substring_dedup.remove_repeats(docs), "lines_gone")
+    return repeated_spans.remove_spans(lines_gone).select(
+        "doc_id", "text", "removed_lines", F.size("removed_lines").alias("n_removed"), "removed_words")
 
 
 QUERIES = {f.__name__: f for f in (

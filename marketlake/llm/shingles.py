@@ -36,11 +36,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """The 64-bit hash of every word."""
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def shingle_set(words: list[bytes], size: int = WORDS_PER_SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the shingles; fewer words make one shingle, none make an empty set."""
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = hashes_of(words)
     if len(words) < size:
         total = np.array([len(words)], np.uint64)
         for k in range(len(words)):
