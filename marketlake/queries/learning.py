@@ -20,8 +20,6 @@ from marketlake.sources.orders_market import listings_view
 family = Family()
 TARGET, ID = "target_price", "property_id"
 MOMENT = datetime(2024, 1, 1)  # fixed run time, so a repeated run gives the same rows
-# Small grids keep the registered queries short; the library's defaults are the published ones.
-GRIDS = {lm.FOREST: {"numTrees": [10], "maxDepth": [4, 6]}, lm.BOOSTING: {"maxIter": [5, 10], "stepSize": [0.1], "maxDepth": [3]}}
 
 
 def model_source(spark, folder):
@@ -39,7 +37,7 @@ def trained(spark, folder, names):
     rows = stored(spark, folder, "model_rows", model_source)
     train, test = preparation.train_test(rows, ID)
     numeric, categorical = preparation.feature_columns(rows, TARGET, ID)
-    fitted = lm.fit(train, TARGET, ID, numeric, categorical, names, GRIDS)
+    fitted = lm.fit(train, TARGET, ID, numeric, categorical, names)
     for model in fitted:
         lm.evaluate(model, test, TARGET)
     return fitted, test
@@ -138,7 +136,7 @@ def _shares(spark, shares: dict[str, float]):
 def ml_importance(spark, folder):
     fitted, test = trained(spark, folder, [lm.FOREST])
     native = _shares(spark, lm.native_importance(fitted[0], test)).withColumn("kind", F.lit("native"))
-    permuted = lm.permutation_importance(fitted[0], test, TARGET, ID, ["total_rooms", "bedrooms", "region"], repeats=2)
+    permuted = lm.permutation_importance(fitted[0], test, TARGET, ID)
     return native.unionByName(_shares(spark, permuted).withColumn("kind", F.lit("permutation")))
 
 
