@@ -56,12 +56,13 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of every bucket in each, from a bounded sample of ``(text, lang)``.
 
-    In each language the texts of least hash are taken, repeated ones once; the rows of a language tell where its hashes
-    end, so nothing is sorted. Without a labelled row there is one language, ``und``.
+    In each language the texts of least hash are taken, repeated ones once; the distinct texts of a language tell where
+    its hashes end, so nothing is sorted. Without a labelled row there is one language, ``und``.
     """
     small_batches(labelled.sparkSession)
     known = labelled.where("lang is not null and text is not null").select("text", "lang")
-    rows = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    texts = known.select("lang", F.xxhash64("text").alias("h")).distinct()
+    rows = {r[0]: r[1] for r in texts.groupBy("lang").count().collect()}
     languages = sorted(rows)
     if not languages:
         return ["und"], np.zeros((BUCKETS, 1))
