@@ -9,9 +9,11 @@ length and find their sequence and offset by that number.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from marketlake.llm.common import list_column, per_batch, small_batches, stored, texts_of
 
 #: Strings between white space that a worker remembers the ids of; emptied beyond it (no result depends on it).
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Strings encoded in one call, and what stands between them: a character that white space around makes a token by itself.
 WORDS_A_CALL = 2000
 MARK = "\x01"
@@ -39,6 +41,24 @@ def _chunks(text: bytes) -> list[bytes]:
     return text.split() if b"<|" in text else _STOPS.sub(rb" \1", text.lower()).split()
 
 
+#: Fixed value: the published splitter of the vocabularies that are read here.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Strings of printable ASCII without capitals and apostrophes, and what the splitter makes of them.
+_PLAIN = re.compile(rb"[!-&(-@\[-~]+")
+_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _checked(path: str) -> None:
+    """Raise unless the file lower-cases, splits on white space and by ``SPLITTER``, and keeps bytes apart from words."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", ())]
+    split = (spec["pre_tokenizer"] or {}).get("pretokenizers", ())
+    if (steps != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in split] != ["Split", "ByteLevel"] or split[0]["pattern"] != {"Regex": SPLITTER}
+            or split[1]["add_prefix_space"] or spec["model"]["type"] != "BPE" or any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])):
+        raise ValueError("a lower-casing BPE vocabulary that splits on white space is needed")
+
+
 class ChunkIds:
     """Ids of whole texts by a ``tokenizers`` file that lower-cases and never joins what white space separates."""
 
@@ -46,15 +66,36 @@ class ChunkIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        _checked(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.mark = self._ids(MARK)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _part(self, part: bytes) -> bytes:
+        """Ids of letters, a digit or other characters, which the model takes as they are."""
+        if part not in self.parts:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            self.parts[part] = array("I", [t.id for t in self.model.tokenize(part.decode())]).tobytes()
+        return self.parts[part]
+
+    def _learn_plain(self, words: list[bytes]) -> list[bytes]:
+        """Encode the strings that need no normalization, part by part; the others are returned."""
+        rest = []
+        for w in words:
+            if _PLAIN.fullmatch(w) and b"<|" not in w:
+                self.known[w] = b"".join(map(self._part, _PARTS.findall(w)))
+            else:
+                rest.append(w)
+        return rest
+
     def _learn(self, words: list[bytes]) -> None:
         """Encode many strings in one call, with a mark of one id between them."""
         texts = [w.decode("utf-8", "replace") for w in words]
@@ -74,7 +115,7 @@ class ChunkIds:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = set().union(*chunks)
-        words = list(new)
+        words = self._learn_plain(list(new))
         for k in range(0, len(words), WORDS_A_CALL):
             self._learn(words[k : k + WORDS_A_CALL])
         return [b"".join(map(self.known.__getitem__, c)) for c in chunks]

@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from marketlake.llm.best_fit_packing import chunk_ids
-from marketlake.llm.common import list_column, per_batch, small_batches, stored, texts_of
+from marketlake.llm.common import list_column, small_batches, texts_of
 
 MAGIC = b"EFIDS1"
-#: Bytes of ids in a block (a longer document makes a block of its own) and, about, in a file.
-BLOCK_BYTES = 4 << 20
-FILE_BYTES = 32 << 20
+#: Bytes of ids in a block (a longer document makes a block of its own), and of text in a file, about.
+BLOCK_BYTES = 2 << 20
+FILE_BYTES = 24 << 20
 SAMPLE = 256
 _HEADER = np.dtype([
     ("shard", "<u4"), ("width", "<u4"), ("before", "<u8"), ("docs", "<u8"), ("unnamed", "<u8"), ("least", "<i8"), ("ids", "<u8"), ("size", "<u8")])
@@ -167,20 +167,6 @@ def read_blocks(content: bytes) -> list[Block]:
     return sorted(out, key=lambda b: b.before)
 
 
-def _tokens(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
-    """``(doc_id, n, ids)``: the ids of every whole text and the end id, as bytes, stored."""
-    end = np.array([end_id], f"<u{width}").tobytes()
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coded = chunk_ids(path)(texts_of(batch.column("text")))
-        parts = [(c if width == 4 else np.frombuffer(c, "<u4").astype("<u2").tobytes()) + end for c in coded]
-        return pa.record_batch({
-            "doc_id": batch.column("doc_id"), "n": pa.array([len(p) // width for p in parts], pa.int64()), "ids": pa.array(parts, pa.binary())})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(rows.mapInArrow(per_batch(work), "doc_id long, n long, ids binary"), "tokens")
-
-
 def _vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -191,21 +177,21 @@ def write_ids(docs: DataFrame, path: str, target: str, end_id: int = 2, file_byt
     """Write the ids of every text of ``docs`` and ``end_id`` after each, in ascending order of doc_id, as files below ``target``.
 
     ``path`` names a ``tokenizers`` file that lower-cases and splits on white space. Null and empty texts are the end id alone;
-    null ids come first; rows of one id stand in order of their lengths and ids' crc32, repeated rows as often as they are
-    given. The rows are dealt by ranges of all these, so one id that holds many rows spreads over files. Other columns are
-    ignored; an empty table gives a manifest without rows. The driver sees three numbers a file of about ``file_bytes`` of ids.
+    null ids come first; rows of one id stand in order of the lengths and hashes of their texts, repeated rows as often as they
+    are given. The rows are dealt by ranges of all these, so one id that holds many rows spreads over files. Other columns are
+    ignored; an empty table gives a manifest without rows. The driver sees three numbers a file of about ``file_bytes`` of text.
     """
     spark = docs.sparkSession
     small_batches(spark)
     width = 2 if max(_vocabulary_size(path), end_id + 1) <= 1 << 16 else 4
-    tokens = _tokens(docs, path, end_id, width)
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    files = max(1, -(-total * width // file_bytes))
-    # The row's number in the stored table parts rows that are alike, and holds in every attempt.
-    order = ["doc_id", "n", "crc", "row"]
-    dealt = tokens.withColumns({"crc": F.crc32("ids"), "row": F.monotonically_increasing_id()})
-    dealt = dealt.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    dealt = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "ids")
+    end = np.array([end_id], f"<u{width}").tobytes()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    # Rows that are alike are parted by their place in the scan; whichever stands first, the files are the same.
+    order = ["doc_id", "n", "hash", "row"]
+    dealt = rows.withColumns({"n": F.octet_length("text"), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = dealt.repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order)
+    dealt = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before, doc_ids, parts, held, count = 0, 0, [], [], 0, 0
@@ -216,7 +202,8 @@ def write_ids(docs: DataFrame, path: str, target: str, end_id: int = 2, file_byt
         for batch in batches:
             if batch.num_rows:
                 shard = batch.column("shard")[0].as_py()
-            for d, p in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for d, p in zip(batch.column("doc_id").to_pylist(), chunk_ids(path)(texts_of(batch.column("text"))), strict=True):
+                p = (p if width == 4 else np.frombuffer(p, "<u4").astype("<u2").tobytes()) + end
                 if parts and held + len(p) > BLOCK_BYTES:
                     yield block()
                     before, doc_ids, parts, held = before + held // width, [], [], 0
@@ -233,7 +220,7 @@ def write_ids(docs: DataFrame, path: str, target: str, end_id: int = 2, file_byt
     blocks.select("kind", F.col("block").cast("string").alias("value")).write.partitionBy("kind").text(f"{target}/data")
     # An empty table leaves no folder of a kind to read.
     shards = []
-    if total:
+    if size:
         found = spark.read.schema("shard long, docs long, ids long").json(f"{target}/data/kind=shards")
         shards = sorted(tuple(r) for r in found.select("shard", "docs", "ids").collect())
     starts = np.concatenate([[0], np.cumsum([s[2] for s in shards])]).astype(int).tolist()
@@ -258,13 +245,12 @@ def read_ids(spark: SparkSession, target: str, with_ids: bool = False) -> DataFr
         for batch in batches:
             for content in batch.column("content"):
                 for b in read_blocks(content.as_buffer()):
-                    wide = b.ids.astype("<u4")
-                    crc = [zlib.crc32(wide[s:e]) for s, e in zip(b.starts.tolist(), b.ends.tolist(), strict=True)]
+                    crc = [zlib.crc32(b.ids[s:e].astype("<u4")) for s, e in zip(b.starts.tolist(), b.ends.tolist(), strict=True)]
                     out = {
                         "shard": pa.array(np.full(len(crc), b.shard, np.int64)), "doc_id": pa.array(b.doc_ids, pa.int64()),
                         "start": pa.array(b.before + b.starts), "n_tokens": pa.array(b.ends - b.starts), "ids_crc32": pa.array(crc, pa.int64())}
                     if with_ids:
-                        out["ids"] = list_column(wide.astype(np.int32), b.ends - b.starts, pa.int32())
+                        out["ids"] = list_column(b.ids.astype(np.int32), b.ends - b.starts, pa.int32())
                     yield pa.record_batch(out)
 
     found = files.mapInArrow(work, schema).join(manifest, "shard")

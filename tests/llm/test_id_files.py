@@ -38,9 +38,9 @@ def expected(rows, end_id=2):
     coded = []
     for d, t in rows:
         ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [end_id], "<u4")
-        coded.append((d is not None, d or 0, len(ids), zlib.crc32(ids.tobytes()), d))
+        coded.append((d is not None, d or 0, t is not None, len((t or "").encode()), len(ids), zlib.crc32(ids.tobytes()), d))
     out, start = [], 0
-    for _, _, n, crc, d in sorted(coded, key=lambda x: (x[0], x[1], x[2])):
+    for _, _, _, _, n, crc, d in sorted(coded, key=lambda x: x[:4]):
         out.append((d, n, crc, start))
         start += n
     return out
@@ -67,6 +67,6 @@ def test_one_id_for_all_rows_and_an_empty_table(spark, tmp_path):
     id_files.write_ids(table, vocabulary("word_bpe_49k.json"), str(tmp_path / "hot"), file_bytes=16)
     got = id_files.read_ids(spark, str(tmp_path / "hot")).orderBy("start").collect()
     sizes = [r["n_tokens"] for r in got]
-    assert sizes == sorted(sizes) and [r["start"] for r in got] == [0, *np.cumsum(sizes)[:-1].tolist()] and len(got) == len(texts)
+    assert sizes == [1] + [2] * 5 + [4] * 40 and [r["start"] for r in got] == [0, *np.cumsum(sizes)[:-1].tolist()] and len(got) == len(texts)
     id_files.write_ids(table.limit(0), vocabulary("word_bpe_49k.json"), str(tmp_path / "none"))
     assert id_files.read_ids(spark, str(tmp_path / "none")).collect() == []
