@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.functions.numbers import ratio
+from marketlake.learn import search
 from marketlake.learn.preparation import FEATURES, most_frequent, preprocessing, with_folds
 
 # The published search grids; a depth of 30 is Spark's largest and stands for "no limit".
@@ -20,6 +21,10 @@ FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [30, 10, 20], "minInstancesPer
 BOOSTING_GRID = {"maxIter": [50, 100], "stepSize": [0.05, 0.1], "maxDepth": [3, 5]}
 LINEAR, FOREST, BOOSTING = "Linear Regression", "Random Forest", "Gradient Boosting"
 METRICS = ("rmse", "mae", "r2", "explained_variance")
+SEARCHES = {FOREST: search.search_forest, BOOSTING: search.search_boosting}
+#: Fits that run side by side at most (each may ask ``search.NODE_MEMORY_MB`` of memory), and rows of a partition of a last fit.
+MOST_FITS = 6
+FINAL_ROWS_PER_PART = 4000
 
 
 @dataclass
@@ -32,6 +37,8 @@ class Fitted:
     categorical: list[str]
     params: dict
     metrics: dict[str, float] = field(default_factory=dict)
+    #: (grid point, cross-validated mean squared error) of everything that was searched.
+    searched: list[tuple[dict, float]] = field(default_factory=list)
 
     @property
     def regressor(self):
@@ -59,39 +66,44 @@ def fit(
     names: list[str] | None = None,
     grids: dict[str, dict] | None = None,
     folds: int = 3,
-    parallelism: int = 4,
+    parallelism: int | None = None,
 ) -> list[Fitted]:
     """Fit the named models. Training rows, raw and prepared, are kept while they are read again and again;
-    lost blocks are recomputed. Grids with more than one point are searched by cross-validation on hash folds."""
+    lost blocks are recomputed. Grids with more than one point are searched by cross-validation on hash folds, with ensembles
+    shared by the points they contain (``search``); the best point is then fitted on all rows. ``parallelism`` fits run at a time."""
     source = train.select(id_column, target, *numeric, *categorical).persist(StorageLevel.MEMORY_AND_DISK)
-    rows, found = None, []
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    rows, found = None, {}
     try:
         modes = most_frequent(source, categorical)
         prepare = preprocessing(numeric, modes).fit(source)
         rows = with_folds(prepare.transform(source), id_column, folds).select(
             FEATURES, F.col(target).cast("double").alias("label"), "fold").persist(StorageLevel.MEMORY_AND_DISK)
-        for name, (estimator, default_grid) in regressors().items():
-            if names and name not in names:
-                continue
-            grid = (grids or {}).get(name, default_grid)
-            builder = ParamGridBuilder()
-            for param, values in grid.items():
-                builder = builder.addGrid(getattr(estimator, param), values)
-            points = builder.build()
-            if len(points) > 1:
-                search = CrossValidator(
-                    estimator=estimator, estimatorParamMaps=points, evaluator=RegressionEvaluator(metricName="mse"),
-                    numFolds=folds, foldCol="fold", parallelism=parallelism)
-                best = search.fit(rows).bestModel
-            else:
-                best = estimator.fit(rows, points[0]) if points[0] else estimator.fit(rows)
-            found.append(Fitted(name, PipelineModel([*prepare.stages, best]), numeric, list(modes),
-                                _chosen(best, grid or ["fitIntercept"])))
+        count = rows.count()
+        whole = rows.repartition(max(1, min(cores, count // FINAL_ROWS_PER_PART)))
+        with ThreadPoolExecutor(parallelism or max(2, min(cores, MOST_FITS))) as pool, ThreadPoolExecutor(len(SEARCHES) + 1) as finals:
+            for name, (estimator, default_grid) in regressors().items():
+                if names and name not in names:
+                    continue
+                grid = (grids or {}).get(name, default_grid)
+                started = SEARCHES[name](pool, estimator, rows, count, grid, folds) if len(search.points(grid)) > 1 else None
+                found[name] = finals.submit(_final, name, estimator, whole, grid, started)
+            fitted = {name: f.result() for name, f in found.items()}
     finally:
         for kept in (rows, source):
             if kept is not None:
                 kept.unpersist()
-    return found
+    return [
+        Fitted(name, PipelineModel([*prepare.stages, model]), numeric, list(modes), params, searched=searched)
+        for name, (model, params, searched) in fitted.items()]
+
+
+def _final(name: str, estimator, rows: DataFrame, grid: dict, started: Callable[[], search.Searched] | None) -> tuple:
+    """The model of the best point on all rows, its parameters, and the errors of all points."""
+    searched = started() if started else search.Searched([(p, float("nan")) for p in search.points(grid)])
+    chosen = (search.tuned(estimator) if name in SEARCHES else estimator).copy({getattr(estimator, k): v for k, v in searched.best.items()})
+    model = chosen.fit(rows)
+    return model, _chosen(model, grid or ["fitIntercept"]), searched.errors if started else []
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str, by: list[str] = ()) -> DataFrame:

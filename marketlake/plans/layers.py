@@ -6,20 +6,27 @@ running a day twice replaces that day. Errors are raised, never swallowed.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.operators.merging import one_of_each
+from marketlake.learn import models, preparation, scoring, store
+from marketlake.operators.merging import one_of_each, upsert
 from marketlake.plans import analytics, dimensions, marts
 from marketlake.plans.cleaning import clean
 from marketlake.roles import Roles
-from marketlake.sources.files import read_day, read_latest, with_run_date, write_reconciled, write_table
+from marketlake.session import shared_dir
+from marketlake.sources import contracts
+from marketlake.sources.files import exists, file_system, read_day, read_latest, upsert_table, with_run_date, write_reconciled, write_table
 
 SOURCE_RANK = {"static": 0, "streaming": 1}
+#: Training rows below which no model is fitted: three folds and a test side need some rows each.
+LEAST_TRAINING_ROWS = 60
+TARGET, ID = "target_price", "property_id"
 UNIT_ROLES = Roles(unit_price="price_per_sqft")
 
 
@@ -94,10 +101,58 @@ def build_marts(spark: SparkSession, layout: Layout, run_date: date) -> None:
         write_table(table, layout.path("marts", name), parts=())
 
 
+def build_models(spark: SparkSession, layout: Layout, run_date: date, grids: dict[str, dict] | None = None) -> None:
+    """Fit the price models on the day's feature rows, keep them, and merge both model marts by key.
+
+    A day's models are fitted once: a second run loads them and changes nothing. The best model of the day becomes the active one and
+    all earlier rows lose that mark. Predictions replace those of the same day and property. With fewer than ``LEAST_TRAINING_ROWS``
+    training rows nothing is fitted and both marts stay as they are (empty at first).
+    """
+    rows = _day(spark, layout, "gold", "price_prediction_features", run_date).drop("generated_at", "source_table")
+    rows = rows.where(F.col(TARGET).isNotNull() & F.col(ID).isNotNull())
+    train, test = preparation.train_test(rows, ID)
+    numeric, categorical = preparation.feature_columns(rows, TARGET, ID)
+    moment, root = datetime(run_date.year, run_date.month, run_date.day), layout.path("models", f"{run_date:%Y%m%d}")
+    known, results = contracts.conform(spark.createDataFrame([], contracts.MODELS.schema), contracts.MODELS), None
+    if train.limit(LEAST_TRAINING_ROWS).count() == LEAST_TRAINING_ROWS and test.take(1):
+        def build(missing: list[str]) -> list[models.Fitted]:
+            fitted = models.fit(train, TARGET, ID, numeric, categorical, missing, grids)
+            for model in fitted:
+                models.evaluate(model, test, TARGET)
+            return fitted
+
+        fitted = store.fitted_once(spark, root, [models.LINEAR, models.FOREST, models.BOOSTING], build)
+        best = max(sorted(fitted, key=lambda m: m.name), key=lambda m: (m.metrics["r2"] is not None, m.metrics["r2"] or 0.0))
+        known = scoring.model_rows(spark, fitted, best.name, moment, {m.name: f"{store.place(root, m.name)}/pipeline" for m in fitted})
+        model_id = known.where("is_active").first()["model_id"]
+        results = scoring.result_rows(best.model.transform(test), TARGET, ID, model_id, models.native_importance(best, test), moment)
+    _merge_models(spark, layout.path("marts", "dm_prediction_models"), known)
+    place = layout.path("marts", "dm_prediction_results")
+    if results is not None:
+        upsert_table(spark, place, results.withColumn("day", F.to_date("prediction_timestamp")), ["prediction_id", "day"], ["day"])
+    elif not exists(spark, place):
+        write_table(spark.createDataFrame([], contracts.PREDICTIONS.schema).withColumn("day", F.to_date("prediction_timestamp")), place, parts=())
+
+
+def _merge_models(spark: SparkSession, path: str, batch: DataFrame) -> None:
+    """Upsert the model mart; rows that are not in the batch stop being active as soon as it has an active one."""
+    if not exists(spark, path):
+        write_table(batch, path, parts=())
+        return
+    if not batch.take(1):
+        return
+    staging = f"{shared_dir(spark)}/staging/{uuid.uuid4().hex}"
+    current = spark.read.parquet(path).withColumn("is_active", F.lit(False))
+    write_table(upsert(current, batch, ["model_id"]), staging, parts=())
+    write_table(spark.read.parquet(staging), path, parts=())
+    fs, target = file_system(spark, staging)
+    fs.delete(target, True)
+
+
 def mart_tables(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
     names = ("dm_regional_price_trends", "dm_neighborhood_comparison", "dm_seasonal_patterns", "dm_feature_importance",
-             "dm_regional_feature_variation", "dm_temporal_feature_variation")
-    return {n: spark.read.parquet(layout.path("marts", n)) for n in names}
+             "dm_regional_feature_variation", "dm_temporal_feature_variation", "dm_prediction_models", "dm_prediction_results")
+    return {n: spark.read.parquet(layout.path("marts", n)).select(contracts.CONTRACTS[n].schema.names) for n in names}
 
 
 def latest(spark: SparkSession, layout: Layout, layer: str, table: str) -> DataFrame | None:
@@ -105,8 +160,10 @@ def latest(spark: SparkSession, layout: Layout, layer: str, table: str) -> DataF
     return read_latest(spark, layout.path(layer, table))
 
 
-def run(spark: SparkSession, sources: dict[str, DataFrame], root: str, run_date: date, roles: Roles = UNIT_ROLES, **columns) -> Layout:
-    """All layers for one day. ``columns`` are the outlier and key columns of the cleaning step."""
+def run(
+        spark: SparkSession, sources: dict[str, DataFrame], root: str, run_date: date, roles: Roles = UNIT_ROLES,
+        grids: dict[str, dict] | None = None, **columns) -> Layout:
+    """All layers for one day. ``columns`` are the outlier and key columns of the cleaning step, ``grids`` replace searched grids by name."""
     layout = Layout(root)
     for name, rows in sources.items():
         land(rows, name, layout, run_date)
@@ -114,4 +171,5 @@ def run(spark: SparkSession, sources: dict[str, DataFrame], root: str, run_date:
     build_dimensions(spark, list(sources), layout, run_date)
     build_analytics(spark, layout, run_date, roles)
     build_marts(spark, layout, run_date)
+    build_models(spark, layout, run_date, grids)
     return layout

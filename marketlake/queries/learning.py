@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from datetime import datetime
 
 from pyspark.ml.feature import VectorAssembler
@@ -11,10 +13,11 @@ from pyspark.sql import functions as F
 
 from marketlake.functions.rules import pseudo_coordinate
 from marketlake.learn import models as lm
-from marketlake.learn import preparation, scoring
+from marketlake.learn import preparation, scoring, store
 from marketlake.plans import analytics, serving
 from marketlake.queries.base import LISTINGS, Family, r, rounded
-from marketlake.queries.stored import stored
+from marketlake.queries.stored import input_state, stored
+from marketlake.session import shared_dir
 from marketlake.sources.orders_market import listings_view
 
 family = Family()
@@ -33,14 +36,24 @@ def model_source(spark, folder):
 
 
 def trained(spark, folder, names):
-    """(fitted models with test metrics, test rows), from the stored feature rows."""
+    """(fitted models with test metrics, test rows), from the stored feature rows.
+
+    Models are kept in the shared folder under the state of the input and the search: they are fitted by whichever query needs them
+    first, also of an earlier session, and fitted anew when a table of the folder changes.
+    """
     rows = stored(spark, folder, "model_rows", model_source)
     train, test = preparation.train_test(rows, ID)
     numeric, categorical = preparation.feature_columns(rows, TARGET, ID)
-    fitted = lm.fit(train, TARGET, ID, numeric, categorical, names)
-    for model in fitted:
-        lm.evaluate(model, test, TARGET)
-    return fitted, test
+
+    def build(missing):
+        fitted = lm.fit(train, TARGET, ID, numeric, categorical, missing)
+        for model in fitted:
+            lm.evaluate(model, test, TARGET)
+        return fitted
+
+    key = repr((folder, input_state(spark, folder), numeric, categorical, lm.FOREST_GRID, lm.BOOSTING_GRID))
+    root = f"{shared_dir(spark)}/models/{hashlib.sha256(key.encode()).hexdigest()[:16]}"
+    return store.fitted_once(spark, root, names, build), test
 
 
 SCORED = LISTINGS + """, scored as (
@@ -132,6 +145,14 @@ def _shares(spark, shares: dict[str, float]):
     return spark.createDataFrame(list(shares.items()), "feature_name string, importance double")
 
 
+@family.add("ml_grid")
+def ml_grid(spark, folder):
+    """Every point of the published grids with its cross-validated error; the chosen one is marked."""
+    fitted, _ = trained(spark, folder, [lm.FOREST, lm.BOOSTING])
+    points = [(m.name, json.dumps(p, sort_keys=True), error, p == m.params) for m in fitted for p, error in m.searched]
+    return spark.createDataFrame(points, "model_name string, params string, mean_squared_error double, chosen boolean")
+
+
 @family.add("ml_importance")
 def ml_importance(spark, folder):
     fitted, test = trained(spark, folder, [lm.FOREST])

@@ -3,12 +3,15 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from marketlake.learn import models as lm
-from marketlake.learn import preparation, scoring
+from marketlake.learn import preparation, scoring, search
 from marketlake.sources import contracts
 
 
@@ -72,6 +75,49 @@ def test_metrics_match_numpy(spark):
     assert histogram[0].bin_start == pytest.approx(edges[0])
 
 
+@pytest.fixture(scope="module")
+def prepared(frame):
+    rows = preparation.preprocessing(["x", "noise"], {"kind": "big"}).fit(frame).transform(frame)
+    return preparation.with_folds(rows, "id").selectExpr("features", "price as label", "fold").cache()
+
+
+def own_error(model, rows):
+    return lm.regression_metrics(model.transform(rows), "label", "prediction").first()["rmse"] ** 2
+
+
+def test_boosting_prefix_is_its_own_fit(prepared):
+    train, held = prepared.where("fold != 0").coalesce(1), prepared.where("fold = 0")
+    errors = search.boosting_errors(search.tuned(GBTRegressor(maxIter=12, maxDepth=3, seed=42)).fit(train), held, [5, 12])
+    for n in (5, 12):
+        own = GBTRegressor(maxIter=n, maxDepth=3, seed=42).fit(train)
+        assert errors[(n,)] == pytest.approx(own_error(own, held), rel=1e-9)
+
+
+def test_cut_forests_score_as_their_trees(prepared):
+    train, held = prepared.where("fold != 0").coalesce(1), prepared.where("fold = 0")
+    whole = search.tuned(RandomForestRegressor(numTrees=8, maxDepth=9, seed=42)).fit(train)
+    errors = search.forest_errors(whole, held, [3, 8], [0, 2, 9])
+    assert errors[(8, 9)] == pytest.approx(own_error(whole, held), rel=1e-9)
+    trees = [np.array([r.prediction for r in t.transform(held).collect()]) for t in whole.trees[:3]]
+    labels = np.array([r.label for r in held.collect()])
+    assert errors[(3, 9)] == pytest.approx(((sum(trees) / 3 - labels) ** 2).mean(), rel=1e-9)
+    assert errors[(8, 0)] == pytest.approx(labels.var(), rel=0.2)  # roots only
+    shallow = RandomForestRegressor(numTrees=8, maxDepth=2, seed=42).fit(train)
+    assert shallow.trees[0].depth == 2 and errors[(8, 2)] == pytest.approx(own_error(shallow, held), rel=0.25)
+
+
+def test_search_gives_every_point_and_agrees_with_own_fits(prepared):
+    grid = {"numTrees": [60, 120], "maxDepth": [8, 3], "minInstancesPerNode": [1, 4]}
+    estimator = RandomForestRegressor(seed=42)
+    with ThreadPoolExecutor(2) as pool:
+        found = search.search_forest(pool, estimator, prepared, prepared.count(), grid, 3)()
+    assert [p for p, _ in found.errors] == search.points(grid) and found.best == min(found.errors, key=lambda e: e[1])[0]
+    for params, error in found.errors:
+        own = [own_error(estimator.copy({getattr(estimator, k): v for k, v in params.items()}).fit(prepared.where(f"fold != {k}")),
+                         prepared.where(f"fold = {k}")) for k in range(3)]
+        assert error == pytest.approx(sum(own) / 3, rel=0.25)  # other random draws, same fit
+
+
 @pytest.fixture(scope="module")
 def fitted(frame):
     train, test = preparation.train_test(frame, "id")

@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketlake.learn import models, store
 from marketlake.plans import layers, serving, warehouse
 from marketlake.plans.serving import Filters
 from marketlake.session import shared_dir
@@ -234,6 +235,28 @@ def test_all_layers_twice(spark, tmp_path):
         layers.build_dimensions(spark, ["static"], layout, NEXT)
 
 
+def test_model_layer_merges_both_marts(spark, tmp_path):
+    """A day's second run changes nothing; the next day's models are added, and only the newest best one stays active."""
+    base = housing_frame(spark).drop("source")
+    many = base.crossJoin(spark.range(40).toDF("copy")).withColumns({
+        "Id": (F.col("Id") + 10 * F.col("copy")).cast(base.schema["Id"].dataType),
+        "LotArea": (F.coalesce("LotArea", F.lit(5000.0)) + F.pmod(F.col("copy") * 977, F.lit(4000))).cast(base.schema["LotArea"].dataType)}).drop("copy")
+    columns = {"outlier_columns": ("LotArea", "OverallQual"), "key_columns": ("Id", "LotArea", "Neighborhood")}
+    grids = {models.FOREST: {"numTrees": [2, 3], "maxDepth": [2, 4]}, models.BOOSTING: {"maxIter": [2, 3]}}
+    seen = []
+    for day in (DAY, DAY, NEXT):
+        layout = layers.run(spark, {"static": many}, str(tmp_path), day, grids=grids, **columns)
+        tables = layers.mart_tables(spark, layout)
+        seen.append([sorted(map(tuple, tables[n].collect()), key=repr) for n in ("dm_prediction_models", "dm_prediction_results")])
+        assert contracts.violations(tables).where("violations > 0").count() == 0
+        active = [r for r in tables["dm_prediction_models"].collect() if r.is_active]
+        assert len(active) == 1 and active[0].training_date.date() == day and store.exists(spark, active[0].model_path)
+    assert seen[0] == seen[1] and len(seen[0][0]) == 3 and seen[0][1]
+    assert len(seen[2][0]) == 6 and len(seen[2][1]) == 2 * len(seen[0][1])
+    served = serving.predictions(*(layers.mart_tables(spark, layout)[n] for n in ("dm_prediction_results", "dm_prediction_models")))
+    assert served.count() == min(20, len(seen[0][1]))
+
+
 def test_warehouse_views(spark):
     df = spark.createDataFrame([(1, 10.0, DAY, "R", "C", "N", "flat", 3)],
                                "property_id int, price double, transaction_date date, region string, city string, neighborhood string, property_type string, rooms int")
