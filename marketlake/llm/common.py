@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.session import shared_dir
+from marketlake.sources.files import file_system
 
 #: Rows and bytes in one Arrow batch, so that a batch of long texts stays small in a Python worker.
 BATCH_ROWS = 1000
@@ -36,7 +40,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` whose last reader is written."""
+    for table in tables:
+        fs, path = file_system(table.sparkSession, table._stored_at)
+        fs.delete(path, True)
+
+
+def portions(texts: list[bytes], size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """``texts`` in runs of about ``size`` bytes, each with the number of its first text."""
+    first, held = 0, 0
+    for k, t in enumerate(texts):
+        if k > first and held + len(t) > size:
+            yield first, texts[first:k]
+            first, held = k, 0
+        held += len(t)
+    if texts:
+        yield first, texts[first:]
+
+
+def give_back_memory() -> None:
+    """Hand memory that a fit on the driver has freed back to the system; a driver goes on for long after it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own counsel
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import stored
+from marketlake.llm.common import drop, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.select("a", "b").where("a != b").distinct(), "edges")
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    left, steps = edges, []
+    left, steps, rounds = edges, [], [edges]
     while left.take(1):
         both = left.union(left.select("b", "a")).toDF("node", "other")
         salt = F.lit(len(steps))
@@ -31,10 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
         left = stored(
             left.join(one, "a").join(two, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
             .where("a != b").distinct(), "edges")
+        rounds.append(left)
     labels = ends.withColumn("root", F.col("node"))
     for step in steps:
         labels = labels.join(step.toDF("root", "to"), "root", "left").select(
             "node", F.coalesce("to", "root").alias("root"))
     labels = stored(labels, "labels")
+    drop(*rounds, *steps)
     least = labels.groupBy("root").agg(F.min("node").alias("least"))
     return labels.join(least, "root").select("node", F.col("least").alias("root"))

@@ -11,6 +11,8 @@ from marketlake.llm.common import held_out
 #: Labelled rows of each class that a classifier is fitted on at most, and characters of text of each class.
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 8_000_000
+#: Part of a class's characters that one text may take; longer texts come last, if there is room.
+ROW_SHARE = 16
 #: Words a worker remembers; emptied beyond it (no result depends on it).
 REMEMBERED_WORDS = 500_000
 
@@ -42,17 +44,22 @@ def training_sample(
         docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[DataFrame, dict[int, int]]:
     """``(docs columns and __label)`` of the sampled documents, and how many labelled documents each class has.
 
-    Only labels of rows that are not held out count; of repeated labels the larger holds. In each class the rows of least
-    hash of the id are taken, up to ``rows`` rows and ``chars`` characters of whole texts.
+    Only labels of rows that are not held out count; of repeated labels the larger holds, of rows that repeat an id the one of
+    least text hash. In each class the rows of least hash of the id are taken, up to ``rows`` rows and ``chars`` characters of
+    whole texts; texts of more than 1/``ROW_SHARE`` of the characters stand behind all others, so that one costs no other row
+    its place. At least one row of a class is taken.
     """
     known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         F.max(target).cast("int").alias("__label"))
-    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("__size"))
-    known = known.join(sizes, "doc_id").withColumn("__order", F.xxhash64("doc_id"))
+    sizes = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("__size"))
+    known = known.join(sizes, "doc_id").withColumns({"__order": F.xxhash64("doc_id"), "__long": F.col("__size") > chars // ROW_SHARE})
     counts = {int(r[0]): int(r[1]) for r in known.groupBy("__label").count().collect()}
-    parts = [known.where(F.col("__label") == k).orderBy("__order", "doc_id").limit(rows) for k in (0, 1)]
-    running = Window.partitionBy("__label").orderBy("__order", "doc_id")
-    chosen = parts[0].union(parts[1]).withColumn("__total", F.sum(F.coalesce("__size", F.lit(0))).over(running))
+    order = ("__long", "__order", "doc_id")
+    parts = [known.where(F.col("__label") == k).orderBy(*order).limit(rows) for k in (0, 1)]
+    running = Window.partitionBy("__label").orderBy(*order)
+    chosen = parts[0].union(parts[1]).withColumn("__total", F.sum("__size").over(running))
     chosen = chosen.withColumn("__place", F.row_number().over(running))
     chosen = chosen.where((F.col("__total") <= chars) | (F.col("__place") <= 1)).select("doc_id", "__label")
-    return docs.join(F.broadcast(chosen), "doc_id"), counts
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct(*found.columns), F.xxhash64("text")).alias("__row"))
+    return one.select("__row.*"), counts

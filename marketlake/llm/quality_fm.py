@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import list_column, per_batch, small_batches, texts_of
+from marketlake.llm.common import give_back_memory, list_column, per_batch, small_batches, texts_of
 from marketlake.llm.labelled import LEAST_CALIBRATION, WordCodes, plain_words, training_sample
 
 #: Hashed words, rank of the interactions, bins of a statistic.
@@ -199,6 +199,7 @@ def score_documents(
     score is the share of class 1 (0.5 without any label). Labels of held-out rows are never read.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, target, metadata, threshold))
+    give_back_memory()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = model.value

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from marketlake.llm import (
     best_fit_packing, bpe_codec, id_files, language_id, ngram_jaccard, norm_buckets, prefix_forest, prefix_trie, quality_fm, repeated_spans,
-    substring_dedup, token_alignment, token_counts, toxicity_cnn)
-from marketlake.llm.common import held_out, read_table, stored
+    token_alignment, token_counts, toxicity_cnn)
+from marketlake.llm.common import held_out, read_table
 from marketlake.session import shared_dir
 
 #: Fixed values of the classifiers' contracts: a score from here on predicts label 1.
@@ -75,8 +75,7 @@ def op9_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: the text without repeated passages, the lines that went, and the words that went in repeated spans of what was left."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    lines_gone = stored(substring_dedup.remove_repeats(docs), "lines_gone")
-    return repeated_spans.remove_spans(lines_gone).select(
+    return repeated_spans.remove_passages(docs).select(
         "doc_id", "text", "removed_lines", F.size("removed_lines").alias("n_removed"), "removed_words")
 
 

@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm import shingles
-from marketlake.llm.common import per_batch, small_batches, stored, texts_of
+from marketlake.llm.common import drop, per_batch, portions, small_batches, stored, texts_of
+from marketlake.llm.substring_dedup import remove_repeats, with_length
 
 #: Words of a window: shorter repetitions are common phrases, not copied passages.
 MIN_WORDS = 50
 ANCHOR_WORDS = 15
+#: Bytes of text that are hashed at once.
+PORTION = 2 << 20
 
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -73,19 +76,41 @@ def word_blocks(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
     return starts, many, anchors[chosen[starts]], blocks, windows
 
 
+def many_blocks(texts: list[bytes], size: int) -> tuple[np.ndarray, ...] | None:
+    """``(text, first window, number of windows, anchor hash, block hash)`` of the blocks of many texts, hashed side by side."""
+    split = [shingles.words_of(t) for t in texts]
+    counts = np.array([len(w) for w in split], np.int64)
+    if not len(counts) or counts.max() < size:
+        return None
+    hashes = shingles.hashes_of([w for ws in split for w in ws])
+    begin = np.cumsum(counts) - counts
+    text = np.repeat(np.arange(len(texts)), np.maximum(counts - size + 1, 0))
+    before = np.cumsum(np.maximum(counts - size + 1, 0)) - np.maximum(counts - size + 1, 0)
+    at = np.arange(len(text)) - before[text]
+    flat = begin[text] + at  # windows within one text
+    width = min(ANCHOR_WORDS, size)
+    windows = shingles._mixed(rolled(hashes, size))[flat]
+    anchors = shingles._mixed(rolled(hashes, width))
+    chosen = last_least(anchors, size - width + 1)[flat]
+    starts = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])]))
+    many = np.diff(np.append(starts, len(chosen)))
+    blocks = shingles._mixed(
+        (windows[starts] * np.uint64(_FACTOR) + windows[starts + many - 1]) * np.uint64(_FACTOR) + many.astype(np.uint64))
+    return text[starts], at[starts], many, anchors[chosen[starts]], blocks
+
+
 def _blocks(docs: DataFrame, size: int) -> DataFrame:
     """``(doc_id, h, at, many, key, block)`` of every block of every text, stored."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows, parts = [], []
-        for k, text in enumerate(texts_of(batch.column("text"))):
-            if (found := word_blocks(shingles.words_of(text), size)) is not None:
-                rows.append(np.full(len(found[0]), k))
-                parts.append(found[:4])
-        if not rows:
+        parts = []
+        for first, part in portions(texts_of(batch.column("text")), PORTION):
+            if (found := many_blocks(part, size)) is not None:
+                parts.append((found[0] + first, *found[1:]))
+        if not parts:
             return None
-        at, many, key, block = (np.concatenate(x) for x in zip(*parts, strict=True))
-        take = pa.array(np.concatenate(rows))
+        rows, at, many, key, block = (np.concatenate(x) for x in zip(*parts, strict=True))
+        take = pa.array(rows)
         return pa.record_batch({
             "doc_id": batch.column("doc_id").take(take), "h": batch.column("h").take(take), "at": pa.array(at.astype(np.int32)),
             "many": pa.array(many.astype(np.int32)), "key": pa.array(key.view(np.int64)), "block": pa.array(block.view(np.int64))})
@@ -126,25 +151,30 @@ def repeated_windows(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     keys = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
     keys = keys.where("n > 1").select("key", (F.col("low") != F.col("high")).alias("mixed"))
     shared = stored(blocks.join(keys, "key").select("doc_id", "h", "at", "many", "block", "mixed"), "shared")
+    drop(blocks)
     first = shared.groupBy("block").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"))
     placed = shared.join(first, "block")
     later = F.struct("doc_id", "h", "at") > F.col("first")
     near = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("h") == F.col("first.h")) & (F.col("at") < F.col("first.at") + size)
     placed = stored(placed.select("doc_id", "h", "at", "many", "mixed", (later & ~near).alias("copy")), "placed")
+    drop(shared)
     single = stored(_windows(docs, placed.where("mixed and not copy"), size), "windows")
     least = single.groupBy("window").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     found = single.join(least, "window").where(later & ~near).select("doc_id", "h", "at", F.lit(1).alias("many"))
-    return placed.where("copy").select("doc_id", "h", "at", "many").unionByName(found)
+    out = stored(placed.where("copy").select("doc_id", "h", "at", "many").unionByName(found), "spans")
+    drop(placed, single)
+    return out
 
 
-def remove_spans(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs``, ``text`` without its repeated spans, and ``removed_words int``.
+def remove_spans(docs: DataFrame, size: int = MIN_WORDS, added: str = "removed_words") -> DataFrame:
+    """All columns of ``docs``, ``text`` without its repeated spans, and ``added int``: how many words went.
 
     A word goes if one of the windows of ``size`` words over it stands, word for word, at an earlier place (by doc_id and
     word, also in the same text) that it does not overlap; so spans of ``size`` words or more go, whatever stands before or
     after them and wherever their lines break. White space after a removed word goes with it, at the end of the text that
     before it; all else stays byte for byte. Null and empty texts, and rows with a null doc_id, are returned as they are.
     Rows that repeat an id and its text keep what the first one keeps. ``n_chars`` is set to the new length where it is there.
+    Other columns are kept, whatever their names but that of ``added``; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     hashed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
@@ -165,11 +195,20 @@ def remove_spans(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
         batch = batch.set_column(at, "text", pa.array(texts, pa.binary()).cast(batch.column(at).type))
         return batch.set_column(batch.num_columns - 1, "__gone", pa.array(gone))
 
-    out = joined.mapInArrow(per_batch(work), joined.schema).select(*docs.columns, F.col("__gone").alias("removed_words"))
-    if "n_chars" in docs.columns:
-        changed = F.when(F.col("removed_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-        out = out.withColumn("n_chars", F.coalesce(changed, "n_chars"))
-    return out
+    out = with_length(joined.mapInArrow(per_batch(work), joined.schema), docs, F.col("__gone") > 0)
+    return out.select(*docs.columns, F.col("__gone").alias(added))
+
+
+def remove_passages(docs: DataFrame, size: int = MIN_WORDS, percent: int = 80, added: tuple[str, str] = ("removed_lines", "removed_words")) -> DataFrame:
+    """``docs`` without near-equal lines (``substring_dedup.remove_repeats``), and then without repeated spans of what is left.
+
+    The lines of ``size`` words or more are the paragraphs that are banded, verified and joined in components; spans are the copies
+    that no line holds alone: wrapped, or inside longer lines. Odd rows are as in both steps.
+    """
+    lines, words = added
+    first = stored(remove_repeats(docs, size, percent, added="__lines_gone"), "lines_gone")
+    return remove_spans(first, size, added="__words_gone").select(
+        *docs.columns, F.col("__lines_gone").alias(lines), F.col("__words_gone").alias(words))
 
 
 def _without(text: bytes, runs: list[tuple[int, int]], size: int) -> tuple[bytes, int]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm import shingles as sh
-from marketlake.llm.common import list_column, per_batch, small_batches, stored, texts_of
+from marketlake.llm.common import drop, list_column, per_batch, small_batches, stored, texts_of
 from marketlake.llm.components import components
 
 #: Bytes of sets that one block of a tile holds; a tile task loads two blocks.
@@ -37,6 +37,8 @@ class SetRule:
     banding: sh.Banding
     percent: int = 80
     bitmaps: bool = False
+    #: ``(text, pos, n, node, keys)`` of many texts at once, where that is cheaper than text by text.
+    many: Callable[[list[bytes], sh.Banding], tuple[np.ndarray, ...]] | None = None
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         least = min(len(a), len(b))
@@ -47,11 +49,16 @@ class SetRule:
 
 
 def signatures(docs: DataFrame, rule: SetRule) -> DataFrame:
-    """``(doc_id, pos, n, node, keys)`` of every set that is not empty, stored; ``docs`` has ``doc_id`` and ``text``."""
+    """``(doc_id[, h], pos, n, node, keys)`` of every set that is not empty, stored; ``docs`` has ``doc_id``, ``text`` and perhaps ``h``."""
     small_batches(docs.sparkSession)
-    extract, banding = rule.extract, rule.banding
+    extract, banding, names = rule.extract, rule.banding, [c for c in ("doc_id", "h") if c in docs.columns]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if rule.many:
+            at, pos, sizes, nodes, keys = rule.many(texts_of(batch.column("text")), banding)
+            return pa.record_batch({
+                **{c: batch.column(c).take(pa.array(at)) for c in names}, "pos": pa.array(pos.astype(np.int32)), "n": pa.array(sizes),
+                "node": pa.array(nodes), "keys": list_column(keys.ravel(), np.full(len(at), banding.bands), pa.int64())})
         at, pos, sizes, nodes, keys = [], [], [], [], []
         for k, text in enumerate(texts_of(batch.column("text"))):
             for p, values in extract(text):
@@ -62,11 +69,11 @@ def signatures(docs: DataFrame, rule: SetRule) -> DataFrame:
                     nodes.append(sh.set_key(values)[:8])
                     keys.append(banding.keys(values))
         return pa.record_batch({
-            "doc_id": batch.column("doc_id").take(pa.array(at, pa.int64())), "pos": pa.array(pos, pa.int32()),
+            **{c: batch.column(c).take(pa.array(at, pa.int64())) for c in names}, "pos": pa.array(pos, pa.int32()),
             "n": pa.array(sizes, pa.int64()), "node": pa.array(np.frombuffer(b"".join(nodes), np.int64)),
             "keys": list_column(np.concatenate(keys) if keys else np.zeros(0, np.int64), [banding.bands] * len(at), pa.int64())})
 
-    out = docs.mapInArrow(per_batch(work), "doc_id long, pos int, n long, node long, keys array<long>")
+    out = docs.mapInArrow(per_batch(work), "".join(f"{c} long, " for c in names) + "pos int, n long, node long, keys array<long>")
     return stored(out, "signatures")
 
 
@@ -154,8 +161,8 @@ def _tile_links(rule: SetRule) -> Callable[[pa.Table], pa.Table]:
     return search
 
 
-def _rest(members: DataFrame, edges: DataFrame, sets: DataFrame, rule: SetRule) -> DataFrame:
-    """Links between nodes of a bucket that the pivots have not connected, tile by tile."""
+def _rest(members: DataFrame, edges: DataFrame, sets: DataFrame, rule: SetRule) -> tuple[DataFrame, DataFrame]:
+    """The stored rows of tiles, and links between nodes of a bucket that the pivots have not connected, tile by tile."""
     first = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("l1"))
     labels = first.join(first.toDF("l1", "l2"), "l1", "left").select("node", F.coalesce("l2", "l1").alias("label"))
     known = members.where("node != pivot").join(labels, "node", "left").select(
@@ -167,7 +174,7 @@ def _rest(members: DataFrame, edges: DataFrame, sets: DataFrame, rule: SetRule)
     rows = rows.select("key", "node", "label", "n", F.explode(F.array(
         F.struct(F.col("band").alias("band"), F.lit(True).alias("home")),
         F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("t")).select("key", "node", "label", "t.*", "n")
-    rows = stored(rows, "tiles")
+    tiled = rows = stored(rows, "tiles")
     tiles = rows.groupBy("key", "band").agg(
         F.sum(8 * F.col("n")).alias("bytes"), F.count("*").alias("count"), F.max("home").alias("lived"),
         F.min("label").alias("low"), F.max("label").alias("high")).where("lived and count > 1 and low != high")
@@ -175,15 +182,17 @@ def _rest(members: DataFrame, edges: DataFrame, sets: DataFrame, rule: SetRule)
     rows = rows.join(tiles, ["key", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "band", "node", "label", "home", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
-    return rows.join(sets, "node").groupBy("key", "band", "i", "j").applyInArrow(_tile_links(rule), "a long, b long")
+    return tiled, rows.join(sets, "node").groupBy("key", "band", "i", "j").applyInArrow(_tile_links(rule), "a long, b long")
 
 
 def groups(docs: DataFrame, rule: SetRule) -> tuple[DataFrame, DataFrame]:
-    """``(signatures, roots)``: the stored sets of ``docs`` and ``(node, root)`` for every node that has a link."""
+    """``(signatures, roots)``: ``(doc_id[, h], pos, n, node)`` of the sets of ``docs``, and ``(node, root)`` for every node that has a link."""
     sigs = signatures(docs, rule)
     nodes = sigs.where("doc_id is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "pos")).alias("at"), F.any_value("keys").alias("keys"))
     nodes = stored(nodes.select("node", "at.*", "keys"), "nodes")
+    slim = stored(sigs.drop("keys"), "signatures")
+    drop(sigs)
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     buckets = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
     members = stored(keyed.join(buckets.select("key", "pivot"), "key"), "members")
@@ -191,8 +200,12 @@ def groups(docs: DataFrame, rule: SetRule) -> tuple[DataFrame, DataFrame]:
     sets = stored(_sets(docs, wanted, rule), "sets")
     pairs = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     edges = stored(_verified(pairs, sets, rule), "edges")
-    edges = edges.union(stored(_rest(members, edges, sets, rule), "edges"))
-    return sigs, components(edges)
+    rows, rest = _rest(members, edges, sets, rule)
+    more = stored(rest, "edges")
+    drop(nodes, members, sets, rows)
+    roots = components(edges.union(more))
+    drop(edges, more)
+    return slim, roots
 
 
 def one_set(make: Callable[[list[bytes]], np.ndarray]) -> Callable[[bytes], list[tuple[int, np.ndarray]]]:

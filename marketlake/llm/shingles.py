@@ -51,12 +51,18 @@ def shingle_set(words: list[bytes], size: int = WORDS_PER_SHINGLE) -> np.ndarray
         for k in range(len(words)):
             total = total * _MULTIPLIER + hashes[k]
         return _mixed(total)
+    return np.unique(rolling(words, size))
+
+
+def rolling(words: list[bytes], size: int = WORDS_PER_SHINGLE) -> np.ndarray:
+    """The hash of every ``size`` words in a row, as ``shingle_set`` has it, in order and with repetitions."""
+    hashes = hashes_of(words)
     n = len(words) - size + 1
     total = hashes[:n].copy()
     for k in range(1, size):
         total *= _MULTIPLIER
         total += hashes[k : n + k]
-    return np.unique(_mixed(total))
+    return _mixed(total)
 
 
 def set_key(values: np.ndarray) -> bytes:
@@ -85,10 +91,20 @@ class Banding:
         for at in range(0, len(values), 4096):
             part = values[at : at + 4096, None] * self.factors + self.shifts
             np.minimum(least, part.min(axis=0), out=least)
-        least = least.reshape(self.bands, self.rows)
-        total = np.arange(1, self.bands + 1, dtype=np.uint64)
+        return self._banded(least[None])[0]
+
+    def many_keys(self, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The keys of many sets that stand one after another from ``starts`` on, a row each; repeated elements change nothing."""
+        least = np.empty((len(starts), len(self.factors)), np.uint64)
+        for k, (factor, shift) in enumerate(zip(self.factors, self.shifts, strict=True)):
+            least[:, k] = np.minimum.reduceat(values * factor + shift, starts)
+        return self._banded(least)
+
+    def _banded(self, least: np.ndarray) -> np.ndarray:
+        least = least.reshape(-1, self.bands, self.rows)
+        total = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), least.shape[:2])
         for k in range(self.rows):
-            total = _mixed(total * _MULTIPLIER + least[:, k])
+            total = _mixed(total * _MULTIPLIER + least[:, :, k])
         return total.view(np.int64)
 
 

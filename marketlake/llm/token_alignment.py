@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,101 +23,102 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.bpe_codec import _gathered, codec
+from marketlake.llm.bpe_codec import _byte_letters, _gathered, codec
 from marketlake.llm.common import list_column, small_batches, stored
 
 SPACE = "▁"
-#: Words a worker remembers the ids of, for each tokenizer; emptied beyond it (no result depends on it).
-REMEMBERED = 400_000
+#: Units, and words of A's splitter, that a worker remembers the ids of; emptied beyond it (no result depends on it).
+REMEMBERED = 250_000
+#: Characters of a unit that is worth remembering.
+LONGEST = 200
+#: Bytes of text that are aligned at once.
+PORTION = 3 << 20
 #: Bits of a text's byte offset in a document-end key.
 END_BITS = 40
 
-_CHUNKS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+#: What keeps a text in one unit: spaces at the ends or side by side, and characters with which pieces may differ.
+_UNSPLIT = re.compile(rb"  |\A | \Z|\xe2\x96\x81|\x00")
 
 
-class _Remembered:
-    """Ids of whole texts from remembered ids of their words."""
+def _letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary, for ``str.translate`` of Latin-1 text."""
+    return {b: c for c, b in _byte_letters().items()}
 
-    def __init__(self) -> None:
-        self.known: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        raise NotImplementedError
+class Units:
+    """Ids of both tokenizers for units: the words of a text between single spaces, or a text as a whole.
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        raise NotImplementedError
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.words(t) for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*words)
-        new = list(new)
-        ids = self.encode_words(new)
-        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        cuts = [0, *accumulate(4 * len(i) for i in ids)]
-        self.known.update((w, flat[a:b]) for w, (a, b) in zip(new, pairwise(cuts), strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, w)), "<u4") for w in words]
-
-
-class ByteTokens(_Remembered):
-    """Ids of a space and the text by a byte-level BPE file; special strings are plain text."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.bpe = codec(path)
-        self.bytes_of = self.bpe.bytes_of
-
-    def words(self, text: str) -> list[str]:
-        return self.bpe._words(" " + text)
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        return self.bpe.encode_words(words)
-
-
-class PieceTokens(_Remembered):
-    """Ids of the text by a sentencepiece BPE file, which puts a space before it.
-
-    No piece goes on after a space that follows another character, and none holds a line feed, so the text is encoded by parts:
-    spaces with what follows them, line feeds, and the rest.
+    A unit is encoded as a text of its own, with a space before it. Both tokenizers start anew at a space that follows another
+    character (the splitter of A takes it into the word; no piece of B goes on after it, which is checked), so the ids of a text
+    are those of its words one after another, unless spaces stand at its ends or side by side.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-
-        super().__init__()
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(i) for i in range(size)]
-        self.bytes_of = {
-            i: bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)}
-        plain = [p for i, p in enumerate(pieces) if not self.model.is_byte(i) and not self.model.is_control(i) and not self.model.is_unknown(i)]
-        self.whole = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in plain)
-        self.after_break = len(self.model.encode("\n"))
-
-    def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return [" " + text] if self.whole or SPACE in text or "\0" in text else _CHUNKS.findall(" " + text)
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        spaced = self.model.encode([w[1:] if w[0] == " " else "\n" + w for w in words], num_threads=1)
-        bare = [i for i, w in enumerate(words) if w == " "]
-        for i in bare:  # a lone space: the library gives nothing for an empty text
-            spaced[i] = self.model.encode("\n")[: self.after_break - 1]
-        return [ids if w[0] == " " else ids[self.after_break :] if w != "\n" else ids[1:self.after_break]
-                for w, ids in zip(words, spaced, strict=True)]
+        from tokenizers import Tokenizer
+
+        self.splitter, self.letters = codec(path_a), _letters()
+        self.model_a = Tokenizer.from_file(path_a).model
+        self.model_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        size = self.model_b.get_piece_size()
+        pieces = [self.model_b.id_to_piece(i) for i in range(size)]
+        self.bytes_a = self.splitter.bytes_of
+        self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.model_b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)}
+        special = [self.model_b.is_byte(i) or self.model_b.is_control(i) or self.model_b.is_unknown(i) for i in range(size)]
+        self.whole = any(SPACE in p.lstrip(SPACE) for p, s in zip(pieces, special, strict=True) if not s)
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, word: str) -> bytes:
+        """Ids of a word of A's splitter."""
+        found = self.parts.get(word)
+        if found is None:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            plain = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.model_a.tokenize(plain)]).tobytes()
+            if len(word) <= LONGEST:
+                self.parts[word] = found
+        return found
+
+    def encode(self, units: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Little-endian 32-bit ids of every unit on both sides."""
+        new = [u for u in units if u not in self.known]
+        made = dict(zip(new, zip(
+            (b"".join(map(self._part, self.splitter._words(" " + u))) for u in new),
+            (array("I", ids).tobytes() for ids in self.model_b.encode(new, num_threads=1)), strict=True), strict=True))
+        found = [self.known.get(u) or made[u] for u in units]
+        if len(self.known) + len(made) > REMEMBERED:
+            self.known.clear()
+        self.known.update((u, x) for u, x in made.items() if len(u) <= LONGEST)
+        return [f[0] for f in found], [f[1] for f in found]
+
+    def __call__(self, texts: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """``(flat ids, ids of each text)`` on both sides."""
+        strings = pa.array(texts, pa.binary()).cast(pa.string())
+        apart = np.array([self.whole or _UNSPLIT.search(t) is not None for t in texts], bool)
+        together = strings.filter(pa.array(apart))
+        lists = pa.concat_arrays([
+            pc.split_pattern(strings.filter(pa.array(~apart)), " "), list_column(together, np.ones(len(together), np.int64), pa.string())])
+        lists = lists.take(pa.array(np.argsort(np.concatenate([np.flatnonzero(~apart), np.flatnonzero(apart)]))))
+        units = pc.list_flatten(lists).dictionary_encode()
+        cuts = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))])
+        sides = []
+        for coded in self.encode(units.dictionary.to_pylist()):
+            by_unit = list_column(np.frombuffer(b"".join(coded), "<u4"), [len(c) // 4 for c in coded], pa.uint32())
+            found = by_unit.take(units.indices)
+            counts = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(found), np.int64))])[cuts]
+            sides.append((np.asarray(pc.list_flatten(found)), np.diff(counts)))
+        return tuple(sides)
 
 
 class Side:
-    """A tokenizer and the bytes of its ids, as Arrow arrays by id."""
+    """The bytes of a tokenizer's ids, as Arrow arrays by id."""
 
-    def __init__(self, tokens: _Remembered):
-        self.tokens = tokens
-        size = max(tokens.bytes_of) + 1
-        self.bytes = pa.array([tokens.bytes_of.get(i, b"") for i in range(size)], pa.large_binary())
-        self.sizes = np.array([len(tokens.bytes_of.get(i, b"")) for i in range(size)], np.int64)
+    def __init__(self, bytes_of: dict[int, bytes]):
+        size = max(bytes_of) + 1
+        self.bytes = pa.array([bytes_of.get(i, b"") for i in range(size)], pa.large_binary())
+        self.sizes = np.array([len(bytes_of.get(i, b"")) for i in range(size)], np.int64)
         self.names = pa.array([f"{i}{mark}" for i in range(size) for mark in ",|;"], pa.large_string())
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
@@ -133,14 +134,15 @@ def _data(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[: offsets[-1]] if data else np.zeros(0, np.uint8), offsets
 
 
-_sides: dict[tuple[str, str], tuple[Side, Side]] = {}
+_loaded: dict[tuple[str, str], tuple[Units, Side, Side]] = {}
 
 
-def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
-    """One pair per worker and files."""
-    if (path_a, path_b) not in _sides:
-        _sides[path_a, path_b] = Side(ByteTokens(path_a)), Side(PieceTokens(path_b))
-    return _sides[path_a, path_b]
+def loaded(path_a: str, path_b: str) -> tuple[Units, Side, Side]:
+    """One set per worker and files."""
+    if (path_a, path_b) not in _loaded:
+        units = Units(path_a, path_b)
+        _loaded[path_a, path_b] = units, Side(units.bytes_a), Side(units.bytes_b)
+    return _loaded[path_a, path_b]
 
 
 def _ends(lists: pa.ListArray, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -153,12 +155,10 @@ def _ends(lists: pa.ListArray, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray,
     return ids, parent, running - before[parent]
 
 
-def _faithful(side: Side, ids: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+def _faithful(side: Side, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """Which token lists spell their text with a space before it."""
-    counts = [len(i) for i in ids]
-    flat = np.concatenate([*ids, np.zeros(0, "<u4")])
-    total = np.concatenate([[0], np.cumsum(side.sizes[flat])])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-    spelt = side.joined(flat)
+    total = np.concatenate([[0], np.cumsum(side.sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    spelt = side.joined(ids)
     return np.array([bool(t) and total[k + 1] - total[k] == len(t) + 1 and spelt[total[k]] == 32
                      and spelt[total[k] + 1 : total[k + 1]].tobytes() == t for k, t in enumerate(texts)], bool)
 
@@ -166,14 +166,13 @@ def _faithful(side: Side, ids: list[np.ndarray], texts: list[bytes]) -> np.ndarr
 class Aligned:
     """The alignment of a portion of texts; texts that the tokens do not spell have none."""
 
-    def __init__(self, texts: list[bytes], a: Side, b: Side):
-        decoded = [t.decode("utf-8", "replace") for t in texts]
-        ids_a, ids_b = a.tokens(decoded), b.tokens(decoded)
-        good = _faithful(a, ids_a, texts) & _faithful(b, ids_b, texts)
-        empty = np.zeros(0, "<u4")
-        ids_a, ids_b = ([i if g else empty for i, g in zip(ids, good, strict=True)] for ids in (ids_a, ids_b))
-        self.n_a, self.n_b = (np.array([len(i) for i in ids], np.int64) for ids in (ids_a, ids_b))
-        lists = [list_column(np.concatenate([*ids, empty]), n, pa.uint32()) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b))]
+    def __init__(self, texts: list[bytes], units: Units, a: Side, b: Side):
+        (ids_a, self.n_a), (ids_b, self.n_b) = units(texts)
+        good = _faithful(a, ids_a, self.n_a, texts) & _faithful(b, ids_b, self.n_b, texts)
+        if not good.all():
+            ids_a, ids_b = ids_a[np.repeat(good, self.n_a)], ids_b[np.repeat(good, self.n_b)]
+            self.n_a, self.n_b = self.n_a * good, self.n_b * good
+        lists = [list_column(ids, n, pa.uint32()) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b))]
         flat_a, text_a, end_a = _ends(lists[0], a.sizes)
         flat_b, text_b, end_b = _ends(lists[1], b.sizes)
         key_a, key_b = (text_a << END_BITS) + end_a, (text_b << END_BITS) + end_b
@@ -228,9 +227,9 @@ def _portions(docs: DataFrame, path_a: str, path_b: str, with_groups: bool) -> D
     """Stored: one row a document with its distinct pairs by their number in the portion, one row a portion with its pairs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(path_a, path_b)
-        for number, (doc_ids, texts) in enumerate(_gathered(batches)):
-            found = Aligned(texts, a, b)
+        units, a, b = loaded(path_a, path_b)
+        for number, (doc_ids, texts) in enumerate(_gathered(batches, PORTION)):
+            found = Aligned(texts, units, a, b)
             held, partial = found.pairs()
             refs = pc.index_in(held["pair"], value_set=partial["pair"].combine_chunks()).combine_chunks()
             spelled = [found.spelled(k) for k in range(len(texts))]

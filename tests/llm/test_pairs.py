@@ -75,7 +75,7 @@ def test_join_groups_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_shingles int, component_id string")
     got = sorted(map(tuple, ngram_jaccard.join_groups(df).collect()), key=repr)
     assert got == sorted([(1, 26, 1), (1, 26, 1), (None, 26, None), (2, 26, 1)], key=repr)
-    kept = ngram_jaccard.keep_one(df, ngram_jaccard.join_groups(df)).collect()
+    kept = ngram_jaccard.keep_one(df).collect()
     assert sorted([r["doc_id"] for r in kept], key=repr) == [1, None]
     assert ngram_jaccard.join_groups(df.limit(0)).collect() == []
 
@@ -161,3 +161,23 @@ def test_remove_repeats_odd_rows(spark):
     got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(df).collect()}
     assert got == {2: "a\nb", 1: f"{passage}\n{other}", 3: None, 4: "", None: passage, 5: "", 6: rows[6][1], 7: ""}
     assert substring_dedup.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(1, one, "x"), (5, one, "x"), (5, two, "x"), (5, two, "y"), (5, None, "x"), (5, "", "x"), (6, two + " z", "x"), (2, three, "x"), (2, three + " z", "x")]
+    kept = ngram_jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, h string"))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert kept.columns == ["doc_id", "text", "h"] and len(got) == 5
+    assert [g for g in got if g[0] != 2] == sorted([(1, one), (5, two), (5, None), (5, "")], key=repr) and got[1][1] in (three, three + " z")
+
+
+def test_lines_of_many_texts_are_signed_as_one_by_one():
+    r, banding = random.Random(4), shingles.Banding.tuned(0.8, 0.9999)
+    texts = ["\n".join(" ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.choice([3, 49, 50, 51, 90]))) for _ in range(r.randint(0, 6)))
+             for _ in range(60)]
+    texts = [t.encode() for t in texts] + [b"", b"\n\n", b"a " * 60]
+    at, pos, n, node, keys = substring_dedup.paragraph_signatures(50)(texts, banding)
+    want = [(k, p, len(v), int(np.frombuffer(shingles.set_key(v)[:8], np.int64)[0]), banding.keys(v).tolist())
+            for k, t in enumerate(texts) for p, v in substring_dedup.paragraphs(50)(t)]
+    assert list(zip(at.tolist(), pos.tolist(), n.tolist(), node.tolist(), keys.tolist(), strict=True)) == want and len(want) > 50

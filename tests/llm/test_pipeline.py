@@ -9,6 +9,7 @@ import numpy as np
 import __spark_entry__ as entry
 from marketlake.llm import quality_fm, queries, toxicity_cnn
 from tests.llm.test_pairs import brute_groups, brute_removed
+from tests.llm.test_spans import brute_spans
 
 
 def test_stages_equal_plain_versions(spark, folder):
@@ -26,7 +27,8 @@ def test_stages_equal_plain_versions(spark, folder):
     groups = brute_groups(list(rows[2].items()))
     assert set(rows[3]) == {i for i, (_, root) in groups.items() if i == root}
     removed = brute_removed(list(rows[3].items()))
-    assert rows[4] == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in removed.get(i, [])) for i, t in rows[3].items()}
+    lines = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in removed.get(i, [])) for i, t in rows[3].items()}
+    assert {i: t.encode().split() for i, t in rows[4].items()} == brute_spans(list(lines.items())) and rows[4] != lines
     assert all(rows[k + 1].keys() <= rows[k].keys() for k in range(4)) and len(rows[4]) > 0.5 * len(rows[0])
 
 
@@ -55,4 +57,4 @@ def test_stages_take_an_empty_table_and_other_columns(spark, folder):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from marketlake.llm import queries, repeated_spans
+from marketlake.llm import queries, repeated_spans, substring_dedup
 
 
 def brute_spans(rows, size=50):
@@ -58,7 +58,7 @@ def test_spans_of_the_documents(spark, folder):
 
 def test_op10_leaves_no_window_twice(spark, folder):
     rows = [(r["doc_id"], r["text"]) for r in queries.op10_substring_dedup(spark, folder).collect()]
-    lines = {r["doc_id"]: r["text"] for r in queries.substring_dedup.remove_repeats(
+    lines = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(
         spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")).collect()}
     want = brute_spans(list(lines.items()))
     assert {i: t.encode().split() for i, t in rows} == want and any(t != lines[i] for i, t in rows)
@@ -89,3 +89,23 @@ def test_rolled_and_last_least():
     for width in (1, 2, 3, 36):
         assert repeated_spans.last_least(y, width).tolist() == [
             max(range(k, k + width), key=lambda p: (-int(y[p]), p)) for k in range(len(y) - width + 1)]
+
+
+def test_blocks_of_many_texts_are_those_of_each():
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefghij") for _ in range(r.choice([0, 10, 49, 50, 51, 300]))).encode() for _ in range(80)]
+    text, at, many, anchor, block = repeated_spans.many_blocks(texts, 50)
+    for k, t in enumerate(texts):
+        one = repeated_spans.word_blocks(t.split(), 50)
+        mine = text == k
+        assert (one is None and not mine.any()) or [x.tolist() for x in one[:4]] == [x[mine].tolist() for x in (at, many, anchor, block)]
+
+
+def test_columns_with_clashing_names_are_kept(spark):
+    p = " ".join(f"w{k}" for k in range(60))
+    own = " ".join(f"v{k}" for k in range(30))
+    rows = [(1, p, 7, "a", 120), (2, f"{own} {p}", 8, "b", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed_lines int, removed_words string, n_chars long")
+    got = repeated_spans.remove_passages(docs, added=("__lines", "__words"))
+    assert sorted(tuple(r) for r in got.select(docs.columns).collect()) == [(1, p, 7, "a", 120), (2, own, 8, "b", len(own))]
+    assert repeated_spans.remove_passages(docs.limit(0), added=("__lines", "__words")).collect() == []
