@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality, toxicity, near duplicates, repeated passages, repeated spans, packing, one written table after another."""
+"""The corpus pipeline: quality, toxicity, near duplicates, repeated passages, packing, one written table after another."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import best_fit_packing, ngram_jaccard, quality_fm, queries, repeated_spans, substring_dedup, toxicity_cnn
+from marketlake.llm import best_fit_packing, ngram_jaccard, quality_fm, queries, repeated_spans, toxicity_cnn
 from marketlake.llm.common import read_table, stored
 
 #: No SQL expresses trained classifiers and tokenizers; the stages are tested against brute-force versions instead.
@@ -30,17 +30,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return ngram_jaccard.keep_one(docs, ngram_jaccard.join_groups(docs))
+    return ngram_jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Copied lines, also edited ones, go from the texts of all documents but the first that has them."""
-    return substring_dedup.remove_repeats(docs).select(docs.columns)
-
-
-def repeated_words(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Verbatim spans of 50 words or more go from all texts but the first, wherever lines break."""
-    return repeated_spans.remove_spans(docs).select(docs.columns)
+    """Near-equal lines, and then verbatim spans of 50 words or more wherever lines break, go from all texts but the first that has them."""
+    return repeated_spans.remove_passages(docs, added=("__lines", "__words")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -53,7 +48,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", toxicity),
     ("near_duplicates", near_duplicates),
     ("repeated_passages", repeated_passages),
-    ("repeated_spans", repeated_words),
     ("packing", packing),
 ]
 
