@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlake.functions.numbers import ratio
 from marketlake.learn import search
-from marketlake.learn.preparation import FEATURES, most_frequent, preprocessing, with_folds
+from marketlake.learn.preparation import FEATURES, exact_medians, most_frequent, preprocessing, with_folds
 
 # The published search grids; a depth of 30 is Spark's largest and stands for "no limit".
 FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]}
@@ -76,7 +76,7 @@ def fit(
     rows, found = None, {}
     try:
         modes = most_frequent(source, categorical)
-        prepare = preprocessing(numeric, modes).fit(source)
+        prepare = preprocessing(exact_medians(source, numeric), modes).fit(source)
         rows = with_folds(prepare.transform(source), id_column, folds).select(
             FEATURES, F.col(target).cast("double").alias("label"), "fold").persist(StorageLevel.MEMORY_AND_DISK)
         count = rows.count()

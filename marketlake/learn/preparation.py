@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.functions.ids import hash_share
 from marketlake.functions.nulls import NUMERIC
+from marketlake.operators.grouped import summarize
 
 FEATURES = "features"
 # Columns computed from the target or naming the row: never features.
@@ -60,18 +61,39 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def preprocessing(numeric: list[str], modes: dict[str, str]) -> Pipeline:
-    """``modes`` maps each text column to its most frequent value. Numeric: median for missing values, then standardised. Text: mode for missing values, then one-hot with
-    unknown values as all zeros. Ends in one ``features`` vector; the stages save and load with the model."""
-    categorical = list(modes)
-    casts = [f"CAST(`{c}` AS DOUBLE) AS `{c}__num`" for c in numeric]
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Exact median of each numeric column over its values (nulls and NaN are missing), 0 for a column without any.
+
+    Columns are the groups of one summary, which keeps no more of a group in a task than a bracket around its middle.
+    """
+    if not columns:
+        return {}
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), _present(c).alias("value")) for c in columns])))
+    found = {r["name"]: r["median"] for r in summarize(pairs, ["name"], {}, {"median": "value"}).collect()}  # one row a column
+    return {c: 0.0 if found.get(c) is None else float(found[c]) for c in columns}
+
+
+def _present(column: str) -> Column:
+    value = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def imputed(df: DataFrame, medians: dict[str, float]) -> DataFrame:
+    """The columns as numbers, with the median for missing values; other columns stay."""
+    return df.withColumns({c: F.coalesce(_present(c), F.lit(m)) for c, m in medians.items()})
+
+
+def preprocessing(medians: dict[str, float], modes: dict[str, str]) -> Pipeline:
+    """``medians`` and ``modes`` map each numeric and text column to what stands for its missing values. Numbers are then standardised,
+    texts one-hot with unknown values as all zeros. Ends in one ``features`` vector; the stages save and load with the model."""
+    numeric, categorical = list(medians), list(modes)
+    numbers = {c: f"CAST(`{c}` AS DOUBLE)" for c in numeric}
+    casts = [f"CASE WHEN {x} IS NULL OR isnan({x}) THEN {medians[c]!r}D ELSE {x} END AS `{c}__full`" for c, x in numbers.items()]
     fills = [f"coalesce(`{c}`, {_quoted(modes[c])}) AS `{c}__text`" for c in categorical]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(casts + fills)} FROM __THIS__")]
     vectors = []
     if numeric:
-        names = [f"{c}__num" for c in numeric]
         stages += [
-            Imputer(strategy="median", inputCols=names, outputCols=[f"{c}__full" for c in numeric]),
             VectorAssembler(inputCols=[f"{c}__full" for c in numeric], outputCol="numbers"),
             StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True)]
         vectors.append("scaled")

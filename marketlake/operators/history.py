@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.operators.grouped import null_safe_match
+from marketlake.sources.files import scratch_table
 
 
 def with_previous(
@@ -33,6 +34,33 @@ def with_previous(
     return joined.select(*df.columns, *[before[name].alias(name) for name in values])
 
 
+def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of ``order`` (nulls first), as a written table with the number of each row's range in ``__range``.
+
+    Rows of one key spread over as many ranges as they fill, unless they agree in all columns of the order. The table is written because
+    range edges are sampled: every later step must see the same ones.
+    """
+    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return scratch_table(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def previous_by_range(df: DataFrame, key: str, order: list[str], values: dict[str, str], ranges: int | None = None) -> DataFrame:
+    """As ``with_previous``, for keys that may be hot even within a chunk: no task holds more than a range of (key, order).
+
+    The row before stands in the same range, or is the last row of the range before: one row a range is carried over. Rows of one
+    key that agree in the whole order follow each other in no stated order.
+    """
+    rows = in_ranges(df, [key, *order], ranges)
+    payload = F.struct(F.col(key).alias("k"), *[F.col(source).alias(name) for name, source in values.items()])
+    last = rows.groupBy("__range").agg(F.max_by(payload, F.struct(key, *order)).alias("__last"))
+    carried = last.select("__range", F.lag("__last").over(Window.orderBy("__range")).alias("__carried"))  # one row a range
+    inside = rows.withColumn("__before", F.lag(payload).over(Window.partitionBy("__range").orderBy(key, *order)))
+    joined = inside.join(carried, "__range", "left")
+    before = F.coalesce(F.col("__before"), F.col("__carried"))
+    same = before.isNotNull() & before["k"].eqNullSafe(F.col(key))
+    return joined.select(*df.columns, *[F.when(same, before[name]).alias(name) for name in values])
+
+
 def series_change(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """First value, last value and total percent variation of each series."""
     return (
@@ -80,6 +108,16 @@ def number_rows(df: DataFrame, order: str, name: str, start: int = 1, parts: int
         .select(*df.columns, (F.col("__n") + F.col("__offset") + F.lit(start - 1)).cast("bigint").alias(name)))
 
 
+def large_dictionary(df: DataFrame, column: str, id_name: str, ranges: int | None = None) -> DataFrame:
+    """As ``dictionary``, for any number of names: each range numbers its own and adds how many stand before it."""
+    names = in_ranges(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], ranges)
+    sizes = names.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(column))
+    return names.withColumn("__n", number).join(offsets, "__range").select(column, (F.col("__n") + F.col("__offset")).cast("bigint").alias(id_name))
+
+
 def dictionary(df: DataFrame, column: str, id_name: str) -> DataFrame:
     """Distinct names with ids 1, 2, … in name order, for dimension-sized columns."""
     names = df.select(column).where(F.col(column).isNotNull()).distinct()

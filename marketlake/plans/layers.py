@@ -21,12 +21,14 @@ from marketlake.plans.cleaning import clean
 from marketlake.roles import Roles
 from marketlake.session import shared_dir
 from marketlake.sources import contracts
-from marketlake.sources.files import exists, file_system, read_day, read_latest, upsert_table, with_run_date, write_reconciled, write_table
+from marketlake.sources.files import exists, file_system, read_day, read_latest, upsert_table, with_run_date, write_clustered, write_reconciled, write_table
 
 SOURCE_RANK = {"static": 0, "streaming": 1}
 #: Training rows below which no model is fitted: three folds and a test side need some rows each.
 LEAST_TRAINING_ROWS = 60
 TARGET, ID = "target_price", "property_id"
+#: What dashboards filter marts by: rows are kept in ranges of these.
+CLUSTERED = ("region_name", "period_year", "period_month")
 UNIT_ROLES = Roles(unit_price="price_per_sqft")
 
 
@@ -98,7 +100,11 @@ def build_marts(spark: SparkSession, layout: Layout, run_date: date) -> None:
         "dm_temporal_feature_variation": marts.temporal_variation(rows, numeric, features),
     }
     for name, table in tables.items():
-        write_table(table, layout.path("marts", name), parts=())
+        place, order = layout.path("marts", name), [c for c in CLUSTERED if c in table.columns]
+        if order:
+            write_clustered(table, place, order)
+        else:
+            write_table(table, place, parts=())
 
 
 def build_models(spark: SparkSession, layout: Layout, run_date: date, grids: dict[str, dict] | None = None) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlake.functions import ids, nulls, text
 from marketlake.operators import periods
-from marketlake.operators.history import dictionary, number_rows
+from marketlake.operators.history import dictionary, large_dictionary, number_rows
 from marketlake.plans import cleaning
 from marketlake.queries.base import MONTHLY, NEIGHBORHOOD, SALES, Family, r_all, rounded
 from marketlake.queries.quality import LABELLED, labelled_documents
@@ -118,6 +118,13 @@ def clean_dictionary_id(spark, folder):
     return dictionary(table(spark, folder, "nation"), "n_name", "city_id")
 
 
+@family.add("clean_large_dictionary_id", """
+select c_name, row_number() over (order by c_name) as customer_id from (select distinct c_name from customer)""")
+def clean_large_dictionary_id(spark, folder):
+    """Dense ids of names that grow with the data, numbered by ranges."""
+    return large_dictionary(table(spark, folder, "customer"), "c_name", "customer_id")
+
+
 @family.add("clean_column_suffix", """
 select distinct o_orderpriority, 'priority_' || lower(replace(replace(o_orderpriority, ' ', '_'), '-', '_')) as column_name
 from orders""")

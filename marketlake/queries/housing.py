@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlake.functions import rules
-from marketlake.operators.history import with_previous
+from marketlake.operators.history import previous_by_range, with_previous
 from marketlake.plans import dimensions
 from marketlake.queries.base import Family, r, rounded
 from marketlake.sources.orders_market import housing_view, table
@@ -128,6 +128,15 @@ def rules_previous_price(spark, folder):
     return rounded(priced, {"previous_price": 4})
 
 
+@family.add("rules_previous_price_hot_key", """
+select o_orderkey, o_orderstatus, o_totalprice as price, lag(o_totalprice) over (partition by o_orderstatus order by o_orderdate, o_orderkey) as known
+from orders""")
+def rules_previous_price_hot_key(spark, folder):
+    """The sale before of the same status: three keys hold all rows, so the order is dealt by ranges."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", F.col("o_totalprice").alias("price"))
+    return previous_by_range(orders, "o_orderstatus", ["o_orderdate", "o_orderkey"], {"known": "price"}).drop("o_orderdate")
+
+
 @family.add("rules_column_preference", f"with {HOUSING} select Id, rf as roof_type from h")
 def rules_column_preference(spark, folder):
     rows = housing_view(spark, folder)

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from marketlake.functions.rules import pseudo_coordinate
 from marketlake.learn import models as lm
 from marketlake.learn import preparation, scoring, store
+from marketlake.operators.quality import column_stats
 from marketlake.plans import analytics, serving
 from marketlake.queries.base import LISTINGS, Family, r, rounded
+from marketlake.queries.quality import labelled_documents
 from marketlake.queries.stored import input_state, stored
 from marketlake.session import shared_dir
 from marketlake.sources.orders_market import listings_view
@@ -122,12 +124,31 @@ def ml_prepared(spark, folder):
     rows = stored(spark, folder, "model_rows", model_source)
     numeric, categorical = preparation.feature_columns(rows, TARGET, ID)
     modes = preparation.most_frequent(rows, categorical)
-    prepared = preparation.preprocessing(numeric, modes).fit(rows).transform(rows)
+    prepared = preparation.preprocessing(preparation.exact_medians(rows, numeric), modes).fit(rows).transform(rows)
     slots = prepared.select(F.posexplode(vector_to_array(preparation.FEATURES)).alias("slot", "value"))
     return slots.groupBy("slot").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"))
 
 
+IMPUTED = ("n_chars", "quality", "toxic")
+
+
+@family.add("ml_imputed", f"""
+with labelled as (select d.*, quality, toxic from documents d left join labels using (doc_id))
+""" + " union all ".join(f"""select * from (
+  select '{c}' as column_name, count(*) - count({c}) as missing, any_value(m) as median, {r(f'avg(coalesce(cast({c} as double), m))', 6)} as mean,
+    {r(f'stddev_samp(coalesce(cast({c} as double), m))', 6)} as stddev from labelled, (select quantile_cont({c}, 0.5) as m from labelled) q)"""
+    for c in IMPUTED))
+def ml_imputed(spark, folder):
+    """Exact medians for the missing values: what they are, and mean and deviation of the filled columns."""
+    rows = labelled_documents(spark, folder).select("doc_id", *IMPUTED)
+    medians = preparation.exact_medians(rows, list(IMPUTED))
+    missing = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in IMPUTED]).unpivot([], list(IMPUTED), "column_name", "missing")
+    filled = column_stats(preparation.imputed(rows, medians), list(IMPUTED)).select("column_name", "mean", "stddev")
+    known = spark.createDataFrame(list(medians.items()), "column_name string, median double")
+    return rounded(missing.join(known, "column_name").join(filled, "column_name"), {"mean": 6, "stddev": 6})
+
+
 def _predictions(name: str, model_name: str) -> None:
     @family.add(name)
     def query(spark, folder):

@@ -69,6 +69,20 @@ def write_table(
     writer.save(path)
 
 
+def write_clustered(df: DataFrame, path: str, columns: list[str], files: int | None = None) -> None:
+    """Write rows in ranges of the columns, sorted within each file, so that a filter on them skips files and row groups by
+    their least and largest values. Rows that share all columns stay in one file; name enough columns to part a hot one."""
+    ranged = df.repartitionByRange(files, *columns) if files else df.repartitionByRange(*columns)
+    ranged.sortWithinPartitions(*columns).write.mode("overwrite").parquet(path)
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder of the shared folder and read back: evaluated once, whatever is built on it."""
+    path = f"{shared_dir(df.sparkSession)}/scratch/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_reconciled(df: DataFrame, path: str, day: date | None = None, **options) -> tuple[int, bool]:
     """Write one day (or a table without partitions) and compare rows sent with rows landed.
 

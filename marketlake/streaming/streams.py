@@ -83,3 +83,8 @@ def write_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
         df.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def late_rows(progress: list) -> int:
+    """Rows that the watermark kept out of the state, over all reported batches of a query."""
+    return sum(state.numRowsDroppedByWatermark for p in progress for state in p.stateOperators)

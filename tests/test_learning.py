@@ -47,7 +47,7 @@ def test_modes_and_width_limit(frame, spark):
 
 
 def test_preparation_standardises_and_encodes(frame):
-    prepared = preparation.preprocessing(["x", "noise"], {"kind": "big"}).fit(frame)
+    prepared = preparation.preprocessing(preparation.exact_medians(frame, ["x", "noise"]), {"kind": "big"}).fit(frame)
     vectors = np.array([r.features.toArray() for r in prepared.transform(frame).select("features").collect()])
     assert vectors.shape == (400, 2 + 3)
     assert np.allclose(vectors[:, :2].mean(axis=0), 0, atol=1e-9) and np.allclose(vectors[:, :2].std(axis=0, ddof=1), 1)
@@ -56,6 +56,16 @@ def test_preparation_standardises_and_encodes(frame):
     assert prepared.transform(unknown).first().features.toArray()[2:].sum() == 0.0
 
 
+def test_medians_are_exact(spark):
+    dice = random.Random(3)
+    rows = [(dice.gauss(0, 1) if k % 7 else None, float(k % 5), None, float("nan") if k % 3 else float(k)) for k in range(6001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    found = preparation.exact_medians(df, ["a", "b", "c", "d"])
+    assert found == {"a": np.median([r[0] for r in rows if r[0] is not None]), "b": 2.0, "c": 0.0, "d": np.median([k for k in range(6001) if k % 3 == 0])}
+    filled = preparation.imputed(df, found).collect()
+    assert all(r.c == 0.0 and r.d == (found["d"] if k % 3 else k) and r.a == (rows[k][0] if k % 7 else found["a"]) for k, r in enumerate(filled))
+
+
 def test_metrics_match_numpy(spark):
     dice = np.random.default_rng(0)
     y = dice.normal(size=200)
@@ -77,7 +87,7 @@ def test_metrics_match_numpy(spark):
 
 @pytest.fixture(scope="module")
 def prepared(frame):
-    rows = preparation.preprocessing(["x", "noise"], {"kind": "big"}).fit(frame).transform(frame)
+    rows = preparation.preprocessing(preparation.exact_medians(frame, ["x", "noise"]), {"kind": "big"}).fit(frame).transform(frame)
     return preparation.with_folds(rows, "id").selectExpr("features", "price as label", "fold").cache()
 
 

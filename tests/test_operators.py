@@ -59,6 +59,34 @@ def test_previous_value_matches_plain_window(spark):
         assert rows(history.with_previous(df, "k", chunk, ["day", "id"], {"before": "v"})) == rows(plain)
 
 
+def test_previous_by_range_matches_plain_window(spark):
+    dice = random.Random(6)
+    start = date(2020, 1, 1)
+    data = [(dice.choice(["hot"] * 5 + ["a", "b", None]), start + timedelta(days=dice.randint(0, 3)), i, None if i % 9 == 0 else float(i)) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, day date, id int, v double").repartition(5)
+    plain = df.withColumn("before", F.lag("v").over(Window.partitionBy("k").orderBy("day", "id")))
+    for ranges in (1, 3, 40):
+        assert rows(history.previous_by_range(df, "k", ["day", "id"], {"before": "v"}, ranges)) == rows(plain)
+    assert history.previous_by_range(df.limit(0), "k", ["day", "id"], {"before": "v"}, 4).collect() == []
+
+
+def test_one_key_and_day_spread_over_ranges(spark):
+    """All rows share key and day: no range holds more than about its share, and the chain stays whole."""
+    df = spark.range(0, 20_000).selectExpr("'hot' as k", "date'2024-01-01' as day", "id", "cast(id as double) as v").repartition(4)
+    sizes = [r["count"] for r in history.in_ranges(df, ["k", "day", "id"], 20).groupBy("__range").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2_500 and sum(sizes) == 20_000
+    found = history.previous_by_range(df, "k", ["day", "id"], {"before": "v"}, 20)
+    assert found.where("before is null").count() == 1 and found.where("before != v - 1").count() == 0
+
+
+def test_large_dictionary_is_dense_in_name_order(spark):
+    names = [f"n{k * 37 % 1000:04d}" for k in range(1000)] + [None, "n0001", "Ünlü", ""]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(6)
+    assert rows(history.large_dictionary(df, "name", "i", 13)) == rows(history.dictionary(df, "name", "i"))
+    plan = history.large_dictionary(df, "name", "i", 13)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("__offset")[0] and history.large_dictionary(df.limit(0), "name", "i").collect() == []
+
+
 def test_previous_null_value_is_not_skipped(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("a", 3, 3.0)], "k string, t int, v double")
     found = history.with_previous(df, "k", F.col("t"), ["t"], {"p": "v"}).orderBy("t").collect()

@@ -8,7 +8,8 @@ from tools.check_oracles import TABLES, rows_of
 
 QUICK = ["trends_monthly", "market_indicators", "quality_outlier_flags", "clean_text", "dims_building", "rules_previous_price",
          "importance_ranked", "features_one_hot", "mart_regional_trends", "serving_price_by_region_filtered", "io_upsert_merge",
-         "scalar_date", "stream_reconcile", "ml_metrics"]
+         "scalar_date", "stream_reconcile", "ml_metrics", "rules_previous_price_hot_key", "clean_large_dictionary_id", "market_median_by_region",
+         "ml_imputed", "stream_late_rows", "stream_clean"]
 
 
 def test_every_sql_names_a_query():

@@ -50,6 +50,18 @@ def test_sliding_equals_batch_for_closed_windows(spark, tmp_path):
     assert rows(spark.read.parquet(out).select(batch.columns)) == rows(batch)
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    progress = []
+    for events in ([event(1, 0), event(2, 300)], [event(3, 5), event(4, 240), event(5, 241)], [event(6, 1000)]):
+        put(spark, folder, events)
+        query = streams.write_append(streams.first_of_each(source(spark, folder), "id", "ts"), out, checkpoint)
+        query.awaitTermination()
+        progress += query.recentProgress
+    assert streams.late_rows(progress) == 2  # at 5 and at 240: an hour behind 300 or more
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 5, 6]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     for events in ([event(1, 0), event(2, 300)], [event(3, 5)], [event(4, 1000)], [event(5, 2000)]):

@@ -235,6 +235,31 @@ def test_all_layers_twice(spark, tmp_path):
         layers.build_dimensions(spark, ["static"], layout, NEXT)
 
 
+def scanned(df):
+    """Rows that the file scan of an executed query gave out."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves = plan.collectLeaves()
+    for k in range(leaves.length()):
+        found.append(leaves.apply(k).metrics().apply("numOutputRows").value())
+    return sum(found)
+
+
+def test_filters_prune_a_clustered_mart(spark, tmp_path):
+    """A region, and a region with months, read the ranges that hold them."""
+    mart = spark.range(24_000).selectExpr(
+        "concat('R', lpad(cast(id % 40 as string), 2, '0')) as region_name", "cast(1990 + id div 40 % 30 as int) as period_year",
+        "cast(id div 1200 % 12 + 1 as int) as period_month", "id as v").repartition(5)
+    plain, clustered = str(tmp_path / "plain"), str(tmp_path / "clustered")
+    mart.write.parquet(plain)
+    files.write_clustered(mart, clustered, ["region_name", "period_year", "period_month"], 20)
+    for wanted in (serving.Filters(region="R07"), serving.Filters(region="R07", start=date(1995, 1, 1), end=date(1996, 6, 30))):
+        old, new = (serving.apply_filters(spark.read.parquet(p), wanted) for p in (plain, clustered))
+        assert rows(old) == rows(new) and new.count() > 0
+        assert scanned(new) <= 2_600 < scanned(old) == 24_000
+
+
 def test_model_layer_merges_both_marts(spark, tmp_path):
     """A day's second run changes nothing; the next day's models are added, and only the newest best one stays active."""
     base = housing_frame(spark).drop("source")
