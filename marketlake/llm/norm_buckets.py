@@ -57,8 +57,6 @@ def largest(
         asked = np.nan_to_num(queries / np.where(query_norms > 0, query_norms, 1)[:, None])
         unit = np.nan_to_num(m / np.where(norms > 0, norms, 1)[:, None])
     order = np.argsort(-norms, kind="stable")
-    own = np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
-    itself = np.where(ids[own] == query_ids, own, -1)
     bounded = np.isfinite(norms).all() and np.isfinite(query_norms).all()
     kept = np.full((len(queries), top), -_LONG - 1, np.int64)
     full = np.zeros(len(queries), np.int64)
@@ -80,7 +78,7 @@ def largest(
                 able[by_place] = _may_reach(asked[open_queries[by_place]], unit[bucket], least[open_queries[by_place]])
             by_length = sure & ~by_place & (kept[open_queries, 0] > 0)
             able[by_length] = query_norms[open_queries[by_length], None] * norms[bucket] * SLACK >= kept[open_queries[by_length], 0, None]
-        able &= bucket[None, :] != itself[open_queries, None]
+        able &= ids[bucket][None, :] != query_ids[open_queries, None]
         some = np.flatnonzero(able.any(axis=0))
         if not len(some):
             continue
@@ -104,6 +102,6 @@ def search(rows: DataFrame, every: int = 100, top: int = 10) -> DataFrame:
     Components are floor(1024 * x); scores are exact, and held at the limits of a long beyond them. Largest first, equal
     scores by the smaller id; the query's own row is no candidate. Vectors that are null, empty, or hold null or non-finite
     numbers take no part, nor do rows without an id; vectors of different dimensions never meet; a zero vector has products
-    of 0. An id given twice counts once. Other columns are ignored; an empty table gives no rows.
+    of 0. Repeated ids: see ``vectors.usable``. Other columns are ignored; an empty table gives no rows.
     """
     return vectors.search(vectors.usable(rows), every, top, "long", lambda *block: largest(*block, top))

@@ -78,9 +78,8 @@ def nearest(
     (m, norms), (queries, query_norms) = _scaled(m), _scaled(queries)
     unit, asked = m / norms[:, None], queries / query_norms[:, None]
     deepest = longest_prefixes(unit, asked, trees)
-    own = np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
-    itself = np.flatnonzero(ids[own] == query_ids)
-    deepest[itself, own[itself]] = -1
+    for k, (a, b) in enumerate(zip(np.searchsorted(ids, query_ids), np.searchsorted(ids, query_ids, side="right"), strict=True)):
+        deepest[k, a:b] = -1  # its own rows
     stop = np.full(len(asked), -1)
 
     def ascend(depths: tuple[int, ...], at: np.ndarray, row: np.ndarray, cosine: np.ndarray) -> None:
@@ -119,8 +118,8 @@ def search(rows: DataFrame, every: int = 50, top: int = 5, trees: int = TREES, m
 
     Nearest first, equal scores by the smaller id; the query's own row is no candidate, an equal vector of another id is.
     The score is the exact cosine of the original vectors in double precision. Vectors that are null, empty, zero, or hold
-    null or non-finite numbers take no part, nor do rows without an id; vectors of different dimensions never meet. An id
-    given twice counts once. Other columns are ignored; an empty table gives no rows.
+    null or non-finite numbers take no part, nor do rows without an id; vectors of different dimensions never meet. Repeated
+    ids: see ``vectors.usable``. Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.usable(rows).where(F.exists("v", lambda x: x != 0))
     return vectors.search(rows, every, top, "double", lambda *block: nearest(*block, top, trees, miss))

@@ -113,13 +113,17 @@ links as (select x, y from l union all select y, x from l),
 reach as (select doc_id, doc_id as root from w union select reach.doc_id, links.y from reach join links on links.x = reach.root)
 select doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(root) as component_id from reach left join n using (doc_id) group by doc_id"""
 
+#: Equal rows count once; an id with several vectors asks with the least of them.
 OP7_SQL = """
-with v as (
-  select vec_id, [floor(1024 * cast(x as double)) for x in embedding] as e from embeddings
-  where len(embedding) > 0 and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+with u as (
+  select distinct vec_id, [cast(x as double) for x in embedding] as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+a as (select vec_id, min(v) as v from u where vec_id % 100 = 0 group by vec_id),
+c as (select vec_id, [floor(1024 * x) for x in v] as e from u),
+q as (select vec_id, [floor(1024 * x) for x in v] as e from a),
 s as (
   select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+  from q join c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 10"""
 

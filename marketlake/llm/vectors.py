@@ -19,13 +19,13 @@ QUERY_BLOCK = 2048
 def usable(vectors: DataFrame) -> DataFrame:
     """``(vec_id, dim, v array<double>)`` of the vectors that are not null or empty and hold finite numbers only.
 
-    An id names one row: of rows that repeat it, the vector that is least in array order counts, once.
+    Rows that are equal count once. An id that is given with different vectors is a candidate with each of them; as a query it asks
+    with the one that is least in array order, and none of its own vectors is its candidate.
     """
     v = F.col("embedding").cast("array<double>")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.where(F.col("vec_id").isNotNull()).select("vec_id", v.alias("v")).where(
-        F.col("v").isNotNull() & (F.size("v") > 0) & finite).groupBy("vec_id").agg(F.min("v").alias("v")).select(
-        "vec_id", F.size("v").alias("dim"), "v")
+        F.col("v").isNotNull() & (F.size("v") > 0) & finite).distinct().select("vec_id", F.size("v").alias("dim"), "v")
 
 
 def search(
@@ -40,8 +40,10 @@ def search(
     """
     small_batches(rows.sparkSession)
     rows = stored(rows, "vectors")
-    sizes = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(
-        F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).orderBy("dim").collect()}
+    queries = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).select(
+        "vec_id", F.size("v").alias("dim"), "v"), "queries")
+    asking = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["dim"]: (r["n"], asking.get(r["dim"], 0)) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()}
     parts = []
     for dim, (n, q) in sizes.items():
         data_blocks, query_blocks = -(-n // DATA_BLOCK), -(-q // QUERY_BLOCK)
@@ -51,7 +53,7 @@ def search(
         if not q:
             continue
         data = own.select(F.lit(dim).alias("dim"), block(1, data_blocks).alias("d"), everywhere(query_blocks).alias("q"), "vec_id", "v")
-        asked = own.where(F.col("vec_id") % every == 0).select(
+        asked = queries.where(F.col("dim") == dim).select(
             F.lit(dim).alias("dim"), everywhere(data_blocks).alias("d"), block(2, query_blocks).alias("q"), "vec_id", "v")
         parts.append((data, asked))
     schema = f"query_id long, vec_id long, score {score_type}"

@@ -98,6 +98,22 @@ def test_repeated_ids_count_once(spark):
     assert [tuple(r) for r in norm_buckets.search(df).orderBy("rank").collect()] == [(0, 1, 1, 1048576), (0, 2, 2, 0)]
 
 
+def test_an_id_with_different_vectors_is_a_candidate_with_each(spark):
+    import duckdb
+    from marketlake.llm.queries import SQL
+
+    rows = [(0, [3.0, 1.0]), (0, [2.0, 5.0]), (1, [1.0, 1.0]), (1, [-1.0, 2.0]), (1, [1.0, 1.0]), (100, [4.0, 4.0]), (2, [1.0, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in norm_buckets.search(df).collect())
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    assert got == sorted(con.execute(SQL["op7_norm_buckets"]).fetchall())
+    assert [g[2:] for g in got if g[0] == 0] == [(2, 37 << 20), (100, 28 << 20), (1, 8 << 20), (1, 7 << 20)]  # asks with (2, 5)
+    near = sorted(tuple(r)[:3] for r in prefix_forest.search(df).collect())
+    assert sorted(x[2] for x in near if x[0] == 0) == [1, 1, 2, 100]
+
+
 def test_blocks_do_not_change_results(table, monkeypatch):
     whole = sorted(map(tuple, norm_buckets.search(table).collect()))
     monkeypatch.setattr(vectors, "DATA_BLOCK", 400)
