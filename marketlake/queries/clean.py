@@ -132,3 +132,10 @@ def clean_column_suffix(spark, folder):
     """Column names made from data values; the driver names the same columns when it builds a one-hot list."""
     name = F.concat(F.lit("priority_"), F.lower(F.translate("o_orderpriority", " -", "__")))
     return table(spark, folder, "orders").select("o_orderpriority", name.alias("column_name")).distinct()
+
+
+@family.add("clean_surrogate_id_unique", "select count(*) as rows, count(*) as ids, count(distinct o_orderkey) as keys from orders")
+def clean_surrogate_id_unique(spark, folder):
+    """Surrogate ids: as many as rows, whatever the partitions."""
+    return clean_surrogate_id(spark, folder).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("property_id").alias("ids"), F.count_distinct("o_orderkey").alias("keys"))

@@ -249,3 +249,30 @@ def serving_prediction_intervals(spark, folder):
 @family.add("serving_contributions")
 def serving_contributions(spark, folder):
     return serving.contributions(stored_predictions(spark, folder))
+
+
+def fixed_results(spark, folder):
+    """Prediction rows of the fixed score, so that SQL can repeat what is served from them."""
+    return scoring.result_rows(fixed_score(spark, folder), "price", ID, "fixed", {"total_rooms": 0.75, "bedrooms": 0.25}, MOMENT)
+
+
+RESULTS = f"""{SCORED}, s as (select stddev_pop(price - prediction) as s from scored),
+results as (
+  select 'pred_20240101_' || property_id as prediction_id, property_id, prediction, greatest(0, prediction - 1.96 * s) as low,
+    prediction + 1.96 * s as high from scored, s)"""
+
+
+@family.add("serving_intervals_of_fixed_score", f"""
+with {RESULTS} select prediction_id, property_id, {r('prediction', 2)} as predicted_price, {r('low', 2)} as prediction_interval_low,
+  {r('high', 2)} as prediction_interval_high, 80.0 as confidence_pct, {r('round(high, 2) - round(low, 2)', 2)} as interval_width
+from results order by prediction desc, prediction_id limit 10""")
+def serving_intervals_of_fixed_score(spark, folder):
+    """The highest predictions with interval width and confidence."""
+    return serving.prediction_intervals(fixed_results(spark, folder))
+
+
+@family.add("serving_contributions_of_fixed_score", f"""
+with {RESULTS} select prediction_id, feature, contribution from results, (values ('total_rooms', 0.75), ('bedrooms', 0.25)) f(feature, contribution)""")
+def serving_contributions_of_fixed_score(spark, folder):
+    """One row for each prediction and feature, read out of the JSON text of the mart."""
+    return serving.contributions(fixed_results(spark, folder))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketlake.operators import importance, market, periods
 from marketlake.plans import marts, warehouse
 from marketlake.queries import learning_rows as lr
-from marketlake.queries.base import LISTINGS, Family, grain_sql, r
+from marketlake.queries.base import LISTINGS, Family, exact_mean, grain_sql, r, rounded
 from marketlake.queries.market import indicators_sql
 from marketlake.queries.stored import stored
 from marketlake.queries.trends import SEASONAL
@@ -249,3 +249,27 @@ def io_warehouse_view_time(spark, folder):
     return spark.sql("""
         SELECT sale_year, sale_quarter, sum(properties_sold) AS sales, min(min_price) AS min_price, max(max_price) AS max_price
         FROM dw_time_metrics GROUP BY sale_year, sale_quarter""")
+
+
+@family.add("io_warehouse_view_features", f"""
+with {LISTINGS} select pool, roof_type, count(*) as properties, {r('avg(total_rooms)', 4)} as mean_rooms, max(bedrooms) as most_bedrooms
+from listings group by pool, roof_type""")
+def io_warehouse_view_features(spark, folder):
+    """SQL text over the published warehouse view of features."""
+    warehouse.publish_views(listings_view(spark, folder))
+    return rounded(spark.sql("""
+        select pool, roof_type, count(*) as properties, avg(total_rooms) as mean_rooms, max(bedrooms) as most_bedrooms
+        from dw_property_features group by pool, roof_type"""), {"mean_rooms": 4})
+
+
+@family.add("io_warehouse_view_locations", f"""
+with {LISTINGS}, places as (
+  select region, city, neighborhood, count(*) as properties_sold, {exact_mean('price')} as avg_price, min(price) as min_price, max(price) as max_price
+  from listings group by region, city, neighborhood)
+select region, city, neighborhood, properties_sold, avg_price, max_price - min_price as price_span from places where properties_sold >= 20""")
+def io_warehouse_view_locations(spark, folder):
+    """SQL text over the published warehouse view of locations."""
+    warehouse.publish_views(source(spark, folder))
+    return spark.sql("""
+        select region, city, neighborhood, properties_sold, avg_price, max_price - min_price as price_span
+        from dw_location_metrics where properties_sold >= 20""")

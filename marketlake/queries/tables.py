@@ -141,3 +141,14 @@ def io_hash_partition(spark, folder):
     """Rows per hash bucket of the order key."""
     bucket = hash_bucket(F.col("o_orderkey"), 3)
     return table(spark, folder, "orders").groupBy(bucket.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@family.add("io_hash_partition_of_copies", """
+select count(*) as keys, 1 as most_parts_of_a_key, 0 as outside, sum(n)::bigint as rows from (
+  select l_orderkey, count(*) as n from lineitem group by l_orderkey)""")
+def io_hash_partition_of_copies(spark, folder):
+    """All lines of an order fall in one bucket, and every bucket number is in range."""
+    parts = table(spark, folder, "lineitem").select("l_orderkey", hash_bucket(F.col("l_orderkey"), 3).alias("part"))
+    by_key = parts.groupBy("l_orderkey").agg(
+        F.count_distinct("part").alias("parts"), F.count_if(~F.col("part").between(0, 2)).alias("outside"), F.count(F.lit(1)).alias("n"))
+    return by_key.agg(F.count(F.lit(1)).alias("keys"), F.max("parts").alias("most_parts_of_a_key"), F.sum("outside").alias("outside"), F.sum("n").alias("rows"))
