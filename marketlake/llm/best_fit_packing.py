@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from marketlake.llm.common import list_column, per_batch, small_batches, stored, texts_of
 
-#: Strings between white space that a worker remembers the ids of; emptied beyond it (no result depends on it).
-REMEMBERED = 500_000
+#: Strings between white space, and parts of them, that a worker remembers the ids of; emptied beyond it (no result depends on it).
+REMEMBERED = 350_000
+REMEMBERED_PARTS = 150_000
 #: Strings encoded in one call, and what stands between them: a character that white space around makes a token by itself.
 WORDS_A_CALL = 2000
 MARK = "\x01"
@@ -81,7 +82,7 @@ class ChunkIds:
     def _part(self, part: bytes) -> bytes:
         """Ids of letters, a digit or other characters, which the model takes as they are."""
         if part not in self.parts:
-            if len(self.parts) >= REMEMBERED:
+            if len(self.parts) >= REMEMBERED_PARTS:
                 self.parts.clear()
             self.parts[part] = array("I", [t.id for t in self.model.tokenize(part.decode())]).tobytes()
         return self.parts[part]

@@ -14,7 +14,7 @@ SAMPLE_CHARS = 8_000_000
 #: Part of a class's characters that one text may take; longer texts come last, if there is room.
 ROW_SHARE = 16
 #: Words a worker remembers; emptied beyond it (no result depends on it).
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 150_000
 
 #: Calibration rows of the rarer class below which the whole sample calibrates.
 LEAST_CALIBRATION = 8

@@ -9,7 +9,7 @@ import xxhash
 
 WORDS_PER_SHINGLE = 5
 #: Words a worker remembers the hash of; the memory is emptied beyond it (no result depends on it).
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 150_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
