@@ -47,7 +47,9 @@ class Searched:
 
 
 def tuned(estimator):
-    """Settings that change how a tree ensemble is fitted, not what is fitted: node ids stay with the rows."""
+    """Settings that change how a forest is fitted, not what is fitted: node ids stay with the rows. Shallow boosted trees gain nothing by them."""
+    if not isinstance(estimator, RandomForestRegressor):
+        return estimator
     return estimator.copy({
         estimator.cacheNodeIds: True, estimator.maxMemoryInMB: NODE_MEMORY_MB, estimator.checkpointInterval: CHECKPOINT_LEVELS})
 
