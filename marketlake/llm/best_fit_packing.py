@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import list_column, per_batch, small_batches, stored, texts_of
+from marketlake.llm.common import list_column, per_batch, portions, small_batches, stored, texts_of
 
 #: Strings between white space, and parts of them, that a worker remembers the ids of; emptied beyond it (no result depends on it).
 REMEMBERED = 350_000
 REMEMBERED_PARTS = 150_000
+#: Bytes of text whose strings are laid out at once.
+PORTION = 4 << 20
 #: Strings encoded in one call, and what stands between them: a character that white space around makes a token by itself.
 WORDS_A_CALL = 2000
 MARK = "\x01"
@@ -111,6 +113,9 @@ class ChunkIds:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        return [ids for _, part in portions(texts, PORTION) for ids in self._portion(part)]
+
+    def _portion(self, texts: list[bytes]) -> list[bytes]:
         chunks = [_chunks(t) for t in texts]
         new = set().union(*chunks).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
