@@ -60,11 +60,12 @@ def last_least(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def word_blocks(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """(first window, number of windows, anchor hash, block hash) of each block, and the hashes of all windows."""
-    if len(words) < size:
+def word_blocks(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(first window, number of windows, anchor hash, block hash) of each block of one text, given whole or as its words, and the
+    hashes of all windows."""
+    hashes = shingles.hashed_words(texts)[0]
+    if len(hashes) < size:
         return None
-    hashes = shingles.hashes_of(words)
     windows = shingles._mixed(rolled(hashes, size))
     width = min(ANCHOR_WORDS, size)
     anchors = shingles._mixed(rolled(hashes, width))
@@ -78,11 +79,9 @@ def word_blocks(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
 
 def many_blocks(texts: list[bytes], size: int) -> tuple[np.ndarray, ...] | None:
     """``(text, first window, number of windows, anchor hash, block hash)`` of the blocks of many texts, hashed side by side."""
-    split = [shingles.words_of(t) for t in texts]
-    counts = np.array([len(w) for w in split], np.int64)
+    hashes, counts = shingles.hashed_words(texts)
     if not len(counts) or counts.max() < size:
         return None
-    hashes = shingles.hashes_of([w for ws in split for w in ws])
     begin = np.cumsum(counts) - counts
     text = np.repeat(np.arange(len(texts)), np.maximum(counts - size + 1, 0))
     before = np.cumsum(np.maximum(counts - size + 1, 0)) - np.maximum(counts - size + 1, 0)
@@ -124,7 +123,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows, places, out = [], [], []
         for k, (text, starts) in enumerate(zip(texts_of(batch.column("text")), batch.column("starts").to_pylist(), strict=True)):
-            first, many, _, _, windows = word_blocks(shingles.words_of(text), size)
+            first, many, _, _, windows = word_blocks([text], size)
             for b in np.flatnonzero(np.isin(first, starts)):
                 at = np.arange(first[b], first[b] + many[b])
                 rows.append(np.full(len(at), k))
@@ -192,8 +191,9 @@ def remove_spans(docs: DataFrame, size: int = MIN_WORDS, added: str = "removed_w
         texts, gone = batch.column(at).cast(pa.binary()).to_pylist(), np.zeros(len(batch), np.int32)
         for k in some:
             texts[k], gone[k] = _without(texts[k], [(r["at"], r["many"]) for r in runs[int(k)].as_py()], size)
-        batch = batch.set_column(at, "text", pa.array(texts, pa.binary()).cast(batch.column(at).type))
-        return batch.set_column(batch.num_columns - 1, "__gone", pa.array(gone))
+        last = batch.num_columns - 1  # the fields stay as they are: all batches of a task have one schema, "not null" included
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.column(at).type))
+        return batch.set_column(last, batch.schema.field(last), pa.array(gone))
 
     out = with_length(joined.mapInArrow(per_batch(work), joined.schema), docs, F.col("__gone") > 0)
     return out.select(*docs.columns, F.col("__gone").alias(added))

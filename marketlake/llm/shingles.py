@@ -12,6 +12,10 @@ WORDS_PER_SHINGLE = 5
 REMEMBERED_WORDS = 150_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes from which on ``hashed_words`` hashes a word by itself.
+LONG_WORD = 64
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class _WordHashes(dict):
@@ -41,23 +45,56 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (see ``words_of``) of the texts, one after another, and the number of words of each text.
+
+    The words are hashed side by side, eight bytes at a time, and no word is remembered: texts of ever new words cost no more
+    than others. The hashes are not those of ``hashes_of``.
+    """
+    body = b"\n".join([b"", *texts, b"\n" * 8]).lower()
+    raw = np.frombuffer(body, np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    first = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    counts = np.diff(np.searchsorted(starts, first))
+    eight = np.ndarray(len(raw) - 7, "<u8", body, strides=(1,))
+    out = _mixed((eight[starts] & _LOW_BYTES[np.minimum(sizes, 8)]) + _mixed(sizes.astype(np.uint64) * _MULTIPLIER))
+    rows = np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD))
+    for at in range(8, LONG_WORD, 8):
+        part = eight[starts[rows] + at] & _LOW_BYTES[np.minimum(sizes[rows] - at, 8)]
+        out[rows] = _mixed(out[rows] * _MULTIPLIER + part)
+        rows = rows[sizes[rows] > at + 8]
+    for k in np.flatnonzero(sizes > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(body[starts[k] : starts[k] + sizes[k]])
+    return out, counts
+
+
 def shingle_set(words: list[bytes], size: int = WORDS_PER_SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the shingles; fewer words make one shingle, none make an empty set."""
-    if not words:
+    return shingle_set_of(hashes_of(words), size)
+
+
+def shingle_set_of(hashes: np.ndarray, size: int = WORDS_PER_SHINGLE) -> np.ndarray:
+    """``shingle_set`` of words whose hashes are known."""
+    if not len(hashes):
         return np.zeros(0, np.uint64)
-    hashes = hashes_of(words)
-    if len(words) < size:
-        total = np.array([len(words)], np.uint64)
-        for k in range(len(words)):
-            total = total * _MULTIPLIER + hashes[k]
+    if len(hashes) < size:
+        total = np.array([len(hashes)], np.uint64)
+        for h in hashes:
+            total = total * _MULTIPLIER + h
         return _mixed(total)
-    return np.unique(rolling(words, size))
+    return np.unique(rolling_of(hashes, size))
 
 
 def rolling(words: list[bytes], size: int = WORDS_PER_SHINGLE) -> np.ndarray:
     """The hash of every ``size`` words in a row, as ``shingle_set`` has it, in order and with repetitions."""
-    hashes = hashes_of(words)
-    n = len(words) - size + 1
+    return rolling_of(hashes_of(words), size)
+
+
+def rolling_of(hashes: np.ndarray, size: int = WORDS_PER_SHINGLE) -> np.ndarray:
+    """``rolling`` of words whose hashes are known."""
+    n = len(hashes) - size + 1
     total = hashes[:n].copy()
     for k in range(1, size):
         total *= _MULTIPLIER

@@ -24,12 +24,10 @@ def paragraphs(min_words: int) -> Callable[[bytes], list[tuple[int, np.ndarray]]
     """The lines of a text with ``min_words`` words or more, as (line number, shingle set)."""
 
     def extract(text: bytes) -> list[tuple[int, np.ndarray]]:
-        out = []
-        for k, line in enumerate(text.split(b"\n")):
-            words = shingles.words_of(line)
-            if len(words) >= min_words:
-                out.append((k, shingles.shingle_set(words)))
-        return out
+        lines = text.split(b"\n")
+        hashes, counts = shingles.hashed_words(lines)
+        stops = np.cumsum(counts)
+        return [(int(k), shingles.shingle_set_of(hashes[stops[k] - counts[k] : stops[k]])) for k in np.flatnonzero(counts >= min_words)]
 
     return extract
 
@@ -43,16 +41,18 @@ def paragraph_signatures(min_words: int) -> Callable[[list[bytes], shingles.Band
     def run(texts: list[bytes], banding: shingles.Banding) -> tuple[np.ndarray, ...]:
         found = []
         for first, part in portions(texts, PORTION):
-            at, pos, counts, words = [], [], [], []
+            at, pos, lines = [], [], []
             for k, text in enumerate(part, first):
                 for p, line in enumerate(text.split(b"\n")):
-                    if len(line) >= 2 * min_words - 1 and len(line_words := shingles.words_of(line)) >= min_words:
+                    if len(line) >= 2 * min_words - 1:
                         at.append(k)
                         pos.append(p)
-                        counts.append(len(line_words))
-                        words += line_words
-            if at:
-                found.append((np.array(at), np.array(pos), *_signed(words, np.array(counts), banding)))
+                        lines.append(line)
+            hashes, counts = shingles.hashed_words(lines)
+            enough = counts >= min_words
+            if enough.any():
+                signed = _signed(hashes[np.repeat(enough, counts)], counts[enough], banding)
+                found.append((np.array(at)[enough], np.array(pos)[enough], *signed))
         if not found:
             none = np.zeros(0, np.int64)
             return none, none, none, none, np.zeros((0, banding.bands), np.int64)
@@ -61,15 +61,15 @@ def paragraph_signatures(min_words: int) -> Callable[[list[bytes], shingles.Band
     return run
 
 
-def _signed(words: list[bytes], counts: np.ndarray, banding: shingles.Banding) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(n, node, keys)`` of lines whose words stand one after another."""
+def _signed(hashes: np.ndarray, counts: np.ndarray, banding: shingles.Banding) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(n, node, keys)`` of lines whose hashed words stand one after another."""
     sizes = counts - shingles.WORDS_PER_SHINGLE + 1
     line = np.repeat(np.arange(len(counts)), sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    values = shingles.rolling(words)[np.arange(len(line)) + (np.cumsum(counts) - counts - starts)[line]]
+    values = shingles.rolling_of(hashes)[np.arange(len(line)) + (np.cumsum(counts) - counts - starts)[line]]
     keys = banding.many_keys(values, starts)
-    order = np.lexsort((values, line))
-    values, line = values[order], line[order]
+    for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        values[a : a + n].sort()
     once = np.concatenate([[True], (values[1:] != values[:-1]) | (line[1:] != line[:-1])])
     values, n = values[once], np.bincount(line[once], minlength=len(counts))
     cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
@@ -111,7 +111,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 8
         if not any(gone):
             return batch
         texts = [_without(t, set(g)) if g else t for t, g in zip(batch.column(at).cast(pa.binary()).to_pylist(), gone, strict=True)]
-        return batch.set_column(at, "text", pa.array(texts, pa.binary()).cast(batch.column(at).type))
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.column(at).type))
 
     out = joined.mapInArrow(per_batch(work), joined.schema)
     return with_length(out, docs, F.size("__lines") > 0).select(*docs.columns, F.coalesce("__lines", F.array().cast("array<int>")).alias(added))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from marketlake.llm import queries, repeated_spans, substring_dedup
+import pytest
+from marketlake.llm import common, queries, repeated_spans, shingles, substring_dedup
+from pyspark.sql import functions as F
 
 
 def brute_spans(rows, size=50):
@@ -109,3 +111,31 @@ def test_columns_with_clashing_names_are_kept(spark):
     got = repeated_spans.remove_passages(docs, added=("__lines", "__words"))
     assert sorted(tuple(r) for r in got.select(docs.columns).collect()) == [(1, p, 7, "a", 120), (2, own, 8, "b", len(own))]
     assert repeated_spans.remove_passages(docs.limit(0), added=("__lines", "__words")).collect() == []
+
+
+@pytest.mark.parametrize("nullable", [True, False])
+def test_batches_with_and_without_removals_share_a_task(spark, monkeypatch, nullable):
+    """Batches of one task must have one schema, also where only some of them lose words or lines."""
+    monkeypatch.setattr(common, "BATCH_ROWS", 2)
+    p = " ".join(f"w{k}" for k in range(60))
+    texts = [f"only {k}" for k in range(7)] + [p, f"q {p}", f"x\n{p}", "last"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs = frame if nullable else frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    want = {**dict(enumerate(texts)), 8: "q", 9: "x"}
+    assert {r["doc_id"]: r["text"] for r in repeated_spans.remove_spans(docs).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs).collect()} == {**want, 8: ""}
+    assert {r["doc_id"]: r["text"] for r in repeated_spans.remove_passages(docs).collect()} == {**want, 8: ""}
+
+
+def test_hashes_name_words():
+    r = random.Random(2)
+    words = [bytes(r.choice(b"abXY\x00\x1c\xc3\xa9.") for _ in range(n)) for n in range(1, 140) for _ in range(20)]
+    space = lambda: bytes(r.choice(b" \t\n\v\f\r") for _ in range(r.randint(1, 3)))
+    texts = [b"", b" \n", *(b"".join(space() + w for w in words[k : k + 7]) + r.choice([b"", b" "]) for k in range(0, len(words), 7)), b"\t"]
+    hashes, counts = shingles.hashed_words(texts)
+    split = [t.lower().split() for t in texts]
+    assert counts.tolist() == [len(x) for x in split]
+    flat = [w for ws in split for w in ws]
+    pairs = set(zip(flat, hashes.tolist(), strict=True))
+    assert len(pairs) == len(set(flat)) == len(set(hashes.tolist()))
+    assert [len(x) for x in shingles.hashed_words([])] == [0, 0]
