@@ -40,6 +40,18 @@ class WordCodes(dict):
         return value
 
 
+def labelled_documents(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
+    """``(docs columns and __label)`` of all documents with a label to learn from, one row an id.
+
+    Labels and rows that repeat an id count as in ``training_sample``.
+    """
+    known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
+        F.max(target).cast("int").alias("__label"))
+    found = docs.join(known, "doc_id")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct(*found.columns), F.xxhash64("text")).alias("__row"))
+    return one.select("__row.*")
+
+
 def training_sample(
         docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[DataFrame, dict[int, int]]:
     """``(docs columns and __label)`` of the sampled documents, and how many labelled documents each class has.

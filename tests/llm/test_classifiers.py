@@ -147,3 +147,34 @@ def test_trigrams_equal_a_plain_count():
         assert m[0] == n and (codes[at : at + n] == alone).all()
         at += n
     assert at == len(codes) and language_id.visible(b"<p a='b'>x</p><script>y</script><!-- z -->w").split() == [b"x", b"w"]
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """Each toxic word stands in few documents, so it is only known if all labelled documents are read."""
+    monkeypatch.setattr(toxicity_cnn, "SHARD_ROWS", 1000)
+    rows = [(k, f"the plain text of number {k % 7} " + ("good" if k % 5 else f"bad{k // 5 % 140}"), int(k % 5 == 0)) for k in range(4400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    learnt = {}
+    for k, text, toxic in rows:
+        if toxic and zlib.crc32(str(k).encode()) % 5:
+            learnt[text.split()[-1]] = learnt.get(text.split()[-1], 0) + 1
+    net = toxicity_cnn.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    want = {labelled.xxhash.xxh3_64_intdigest(w.encode()) for w, n in learnt.items() if n >= toxicity_cnn.LEAST_DOCS}
+    assert len(want) > 100 and want <= set(net.hashes.tolist())
+    texts = [t.encode() for _, t, _ in rows]
+    scores = net.scores(net.words(texts, net.coder()))
+    assert ((scores >= 0.5) == np.array([r[2] == 1 for r in rows])).mean() > 0.98
+
+
+def test_shortened_documents_have_the_same_responses():
+    r = np.random.default_rng(4)
+    table = r.normal(size=(9, toxicity_cnn.DIMENSION)).astype(np.float32)
+    table[0] = 0
+    net = toxicity_cnn.Network(
+        np.array([], np.uint64), table, [r.normal(size=(w, toxicity_cnn.DIMENSION, toxicity_cnn.FILTERS)).astype(np.float32) for w in toxicity_cnn.WIDTHS],
+        np.full(3, -0.1, np.float32), r.normal(size=24), 0.1, np.zeros(5))
+    codes = [np.where(r.random(n) < 0.1, r.integers(1, 9, n), 0) for n in (0, 1, 2, 5, 40, 40, 300, 300)] + [np.zeros(50, np.int64)]
+    short = [toxicity_cnn._shortened(c) for c in codes]
+    assert sum(map(len, short)) < sum(map(len, codes)) and not len(short[-1])
+    both = [net.pooled(toxicity_cnn.Words(*toxicity_cnn._padded(c), np.zeros(len(c), int)))[0] for c in (codes, short)]
+    assert np.allclose(*both, atol=1e-6)
