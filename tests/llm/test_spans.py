@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -139,3 +141,20 @@ def test_hashes_name_words():
     pairs = set(zip(flat, hashes.tolist(), strict=True))
     assert len(pairs) == len(set(flat)) == len(set(hashes.tolist()))
     assert [len(x) for x in shingles.hashed_words([])] == [0, 0]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p.name for d in manager.localDirsString() for p in Path(d).rglob("shuffle_*")}
+    setting = lambda: spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    before, was = files(), setting()
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    table = common.stored(counts, "counts")
+    until = time.time() + 10  # executors delete them in the background
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert sorted(counts.collect()) == sorted(table.collect()) and files() - before  # what is not stored keeps its own
+    with pytest.raises(Exception, match="no row"):
+        common.stored(spark.range(1).select(F.raise_error(F.lit("no row")).cast("string").alias("x")), "none")
+    assert setting() == was
