@@ -11,22 +11,21 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
-from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlake.llm.bpe_codec import _byte_letters
 from marketlake.llm.common import list_column, per_batch, portions, small_batches, stored, texts_of
 
-#: Strings between white space, and parts of them, that a worker remembers the ids of; emptied beyond it (no result depends on it).
+#: Parts of texts that a worker remembers the ids of; emptied beyond it (no result depends on it).
 REMEMBERED = 350_000
-REMEMBERED_PARTS = 150_000
-#: Bytes of text whose strings are laid out at once.
+#: Bytes of text whose parts are laid out at once.
 PORTION = 4 << 20
 #: Strings encoded in one call, and what stands between them: a character that white space around makes a token by itself.
 WORDS_A_CALL = 2000
@@ -35,20 +34,19 @@ MARK = "\x01"
 ROWS_PER_TASK = 100_000
 
 
-#: A full stop or comma after a letter or digit is a word of its own already; cut off, it makes fewer strings to remember.
-_STOPS = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
-
-
-def _chunks(text: bytes) -> list[bytes]:
-    """Strings between white space, of a vocabulary that lower-cases; texts with special strings are left as they are."""
-    return text.split() if b"<|" in text else _STOPS.sub(rb" \1", text.lower()).split()
-
-
 #: Fixed value: the published splitter of the vocabularies that are read here.
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Strings of printable ASCII without capitals and apostrophes, and what the splitter makes of them.
-_PLAIN = re.compile(rb"[!-&(-@\[-~]+")
-_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: What the splitter takes a byte for; strings between white space that hold an odd byte are left to the library as they are.
+_LETTER, _DIGIT, _OTHER, _SPACE, _ODD = range(5)
+_KINDS = np.full(256, _ODD, np.uint8)
+_KINDS[33:127] = _OTHER
+_KINDS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_KINDS[[c for c in range(128) if chr(c).isdigit()]] = _DIGIT
+_KINDS[list(b" \t\n\r\v\f")] = _SPACE
+_KINDS[ord("'")] = _ODD  # may begin an ending of the splitter's
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: The first byte of the letters from U+00C0 to U+00FF, and the second ones there that are no letter, or a small one below the others.
+_LATIN, _TIMES, _DIVIDED, _SHARP_S = 0xC3, 0x97, 0xB7, 0x9F
 
 
 def _checked(path: str) -> None:
@@ -62,69 +60,132 @@ def _checked(path: str) -> None:
         raise ValueError("a lower-casing BPE vocabulary that splits on white space is needed")
 
 
+def _latin(raw: np.ndarray, kinds: np.ndarray, low: np.ndarray) -> None:
+    """Enter the letters from U+00C0 to U+00FF, which stay one letter in every step, into the kinds and small letters of ``raw``."""
+    at = np.flatnonzero(raw[:-1] == _LATIN)
+    second = raw[at + 1]
+    letters = (second & 0xC0 == 0x80) & (second != _TIMES) & (second != _DIVIDED)
+    at, second = at[letters], second[letters]
+    kinds[at] = kinds[at + 1] = _LETTER
+    low[at + 1] = np.where(second == _SHARP_S, second, second | 0x20)
+
+
+def _parts(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Small-lettered parts of all texts as the splitter makes them, which of them are strings for the whole library, and the parts before each text."""
+    raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    kinds, low = _KINDS[raw], _LOWER[raw]
+    _latin(raw, kinds, low)
+    space = kinds == _SPACE
+    odd = kinds == _ODD
+    odd[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))  # may begin a special string
+    if odd.any():
+        turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+        held = np.zeros(len(turns) + 1, bool)
+        held[1::2] = np.logical_or.reduceat(odd, turns[::2])
+        odd = np.repeat(held, np.diff(turns, prepend=0, append=len(raw)))
+        kinds[odd] = _ODD
+        low = np.where(odd, raw, low)
+    begins = kinds == _DIGIT
+    begins[1:] |= kinds[1:] != kinds[:-1]
+    begins &= ~space
+    begins[0] = False
+    firsts = np.flatnonzero(begins)
+    solid = ~space
+    data = low[solid]
+    offsets = np.append(np.flatnonzero(begins[solid]), len(data)).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return parts, kinds[firsts] == _ODD, np.searchsorted(firsts, starts)
+
+
 class ChunkIds:
     """Ids of whole texts by a ``tokenizers`` file that lower-cases and never joins what white space separates."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         _checked(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-        self.model = self.tokenizer.model
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.letters = {b: c for c, b in _byte_letters().items()} | {ord("\n"): "\n"}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.last[[k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
         self.mark = self._ids(MARK)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known strings, where in ``ids`` those of each begin, and how many they are."""
+        self.known = pa.array([], pa.binary())
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _part(self, part: bytes) -> bytes:
-        """Ids of letters, a digit or other characters, which the model takes as they are."""
-        if part not in self.parts:
-            if len(self.parts) >= REMEMBERED_PARTS:
-                self.parts.clear()
-            self.parts[part] = array("I", [t.id for t in self.model.tokenize(part.decode())]).tobytes()
-        return self.parts[part]
-
-    def _learn_plain(self, words: list[bytes]) -> list[bytes]:
-        """Encode the strings that need no normalization, part by part; the others are returned."""
-        rest = []
-        for w in words:
-            if _PLAIN.fullmatch(w) and b"<|" not in w:
-                self.known[w] = b"".join(map(self._part, _PARTS.findall(w)))
-            else:
-                rest.append(w)
-        return rest
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode many strings in one call, with a mark of one id between them."""
+    def _parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of letters, digits or other characters, which the model takes as they are, by tokens that end a word."""
+        spelled = b"\n".join(parts).decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(parts):
+            return ids, np.diff(ends, prepend=0)
+        coded = [np.array(c.ids, "<u4") for c in self.model.encode_batch_fast(spelled.split("\n"), add_special_tokens=False)]
+        return np.concatenate(coded), np.array([len(c) for c in coded])
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of whole strings, by a mark of one id between them."""
         texts = [w.decode("utf-8", "replace") for w in words]
         ids = self._ids(f" {MARK} ".join(texts))
         cuts = np.flatnonzero(ids == self.mark[0])
         if len(self.mark) == 1 and len(cuts) == len(words) - 1:
-            starts, ends = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
-            whole = ids.tobytes()
-            self.known.update((w, whole[4 * a : 4 * b]) for w, a, b in zip(words, starts, ends, strict=True))
-        else:  # the mark stands in a word
-            self.known.update((w, self._ids(t).tobytes()) for w, t in zip(words, texts, strict=True))
+            return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
+        coded = [self._ids(t) for t in texts]  # the mark stands in a word
+        return np.concatenate(coded), np.array([len(c) for c in coded])
+
+    def _learn(self, fresh: pa.Array, odd: np.ndarray) -> np.ndarray:
+        """Encode many strings that are not known, the ``odd`` ones by the whole library; their places among the known ones."""
+        known, sizes, ids = [self.known], [self.sizes], [self.ids]
+        places, count = np.zeros(len(fresh), np.int64), len(self.known)
+        for encode, ours in ((self._parts, np.flatnonzero(~odd)), (self._words, np.flatnonzero(odd))):
+            places[ours] = np.arange(count, count + len(ours))
+            count += len(ours)
+            chosen = fresh.take(pa.array(ours))
+            words = chosen.to_pylist()
+            for k in range(0, len(words), WORDS_A_CALL):
+                for held, new in zip((ids, sizes), encode(words[k : k + WORDS_A_CALL]), strict=True):
+                    held.append(new)
+            known.append(chosen)
+        self.known, self.sizes, self.ids = pa.concat_arrays(known), np.concatenate(sizes), np.concatenate(ids)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        return places
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         return [ids for _, part in portions(texts, PORTION) for ids in self._portion(part)]
 
     def _portion(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [_chunks(t) for t in texts]
-        new = set().union(*chunks).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*chunks)
-        words = self._learn_plain(list(new))
-        for k in range(0, len(words), WORDS_A_CALL):
-            self._learn(words[k : k + WORDS_A_CALL])
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        parts, odd, before = _parts(texts)
+        at = np.array(pc.index_in(parts, value_set=self.known).fill_null(-1))
+        missing = np.flatnonzero(at < 0)
+        fresh = parts.take(pa.array(missing)).dictionary_encode()
+        if len(self.known) + len(fresh.dictionary) > REMEMBERED:
+            self._forget()
+            missing, fresh = np.arange(len(parts)), parts.dictionary_encode()
+        if len(missing):
+            codes = np.array(fresh.indices)
+            left = np.zeros(len(fresh.dictionary), bool)
+            left[codes[odd[missing]]] = True
+            at[missing] = self._learn(fresh.dictionary, left)[codes]
+        starts, sizes = self.starts[at], self.sizes[at]
+        ends = np.append(0, np.cumsum(sizes))
+        ids = self.ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[before]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _encoders: dict[str, ChunkIds] = {}
