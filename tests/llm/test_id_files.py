@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marketlake.llm import id_files
+from marketlake.llm import best_fit_packing, id_files
 from marketlake.llm.id_files import EliasFano
 from marketlake.llm.queries import vocabulary
 from tests.llm.test_tokens import ODD, random_texts
@@ -70,3 +70,15 @@ def test_one_id_for_all_rows_and_an_empty_table(spark, tmp_path):
     assert sizes == [1] + [2] * 5 + [4] * 40 and [r["start"] for r in got] == [0, *np.cumsum(sizes)[:-1].tolist()] and len(got) == len(texts)
     id_files.write_ids(table.limit(0), vocabulary("word_bpe_49k.json"), str(tmp_path / "none"))
     assert id_files.read_ids(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_files_of_accented_words(spark, tmp_path):
+    """Their ids come from the model alone, without the whole library."""
+    rows = [(k, t) for k, t in enumerate(["Éclair, déjà vu 12.", "ÀÇÈÑÖØÜß àçèñöøüÿ", "", "déjà (vu)\n\nGRÜSSE.", None])]
+    encoder = best_fit_packing.ChunkIds(vocabulary("word_bpe_49k.json"))
+    encoder.tokenizer = None
+    ids = [np.append(np.frombuffer(p, "<u4"), 2).astype("<u4") for p in encoder([(t or "").encode() for _, t in rows])]
+    assert [(len(i), zlib.crc32(i.tobytes())) for i in ids] == [(n, crc) for _, n, crc, _ in expected(rows)]
+    id_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("word_bpe_49k.json"), str(tmp_path / "files"))
+    got = id_files.read_ids(spark, str(tmp_path / "files")).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"], r["start"]) for r in got) == expected(rows)
