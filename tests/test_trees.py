@@ -140,3 +140,13 @@ def test_rows_beyond_a_task_are_fitted_by_spark(frame, monkeypatch):
 def test_missing_labels_are_refused(spark, rows):
     with pytest.raises(Exception, match="must not be null"):
         trees.pack(rows.withColumn("label", F.when(F.col("label") > 200, F.col("label"))), rows.count()).count()
+
+
+def test_permuted_copies_are_scored_by_many_tasks(frame, monkeypatch):
+    fitted, = lm.fit(frame, "price", "id", ["x", "step"], ["kind"], [lm.LINEAR])
+    want = lm.permutation_importance(fitted, frame, "price", "id", repeats=2)
+    parts, scored = [], lm.regression_metrics
+    monkeypatch.setattr(lm, "regression_metrics", lambda df, *a: parts.append(df.rdd.getNumPartitions()) or scored(df, *a))
+    monkeypatch.setattr(lm, "COPIES_PER_PART", 100)
+    assert lm.permutation_importance(fitted, frame, "price", "id", repeats=2) == pytest.approx(want, rel=1e-9)
+    assert parts[0] >= 2 * 27  # 2 repeats of 900 rows and 3 columns
