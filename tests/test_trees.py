@@ -114,7 +114,7 @@ def test_forest_errors_are_those_of_the_grown_trees(rows, packed):
 
 
 def test_search_fits_no_forest_by_levels(rows, monkeypatch):
-    """Rows that fit a task: no fit of the search or of the chosen point goes through Spark's jobs a level."""
+    """Rows that fit a task: no fit of the search goes through Spark's jobs a level."""
     def never(estimator):
         raise AssertionError("fitted level by level")
 
@@ -150,3 +150,11 @@ def test_permuted_copies_are_scored_by_many_tasks(frame, monkeypatch):
     monkeypatch.setattr(lm, "COPIES_PER_PART", 100)
     assert lm.permutation_importance(fitted, frame, "price", "id", repeats=2) == pytest.approx(want, rel=1e-9)
     assert parts[0] >= 2 * 27  # 2 repeats of 900 rows and 3 columns
+
+
+@pytest.mark.parametrize("depth,spark_fits", [(10, 1), (11, 0)])
+def test_shallow_models_are_sparks_own_fit(frame, monkeypatch, depth, spark_fits):
+    used, tuned = [], search.tuned
+    monkeypatch.setattr(search, "tuned", lambda e: used.append(e) or tuned(e))
+    model, = lm.fit(frame, "price", "id", ["x", "step"], ["kind"], [lm.FOREST], {lm.FOREST: {"numTrees": [2], "maxDepth": [depth]}})
+    assert len(used) == spark_fits and model.params == {"numTrees": 2, "maxDepth": depth}
